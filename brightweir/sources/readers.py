@@ -30,16 +30,20 @@ def read_json_inferred(spark: SparkSession, path: str, *columns: str) -> DataFra
     return spark.read.json(path).select(*columns)
 
 
+def header_line(spark: SparkSession, path: str) -> str | None:
+    """First line of the first file by name."""
+    files = sorted(spark.read.text(path).inputFiles())
+    first = spark.read.text(files[0]).first() if files else None
+    return None if first is None else first[0]
+
+
 def read_header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV by position. Every line equal to the header is dropped, not only the first."""
-    first = spark.read.text(path).first()
+    title_line = header_line(spark, path)
     fields = T._parse_datatype_string(schema).fields
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
     rows = spark.read.schema(raw).option("header", False).option("enforceSchema", True).csv(path)
-    if first is None:
-        header = []
-    else:
-        header = first[0].split(",")
+    header = title_line.split(",") if title_line else []
     is_header = F.lit(bool(header))
     for field, title in zip(fields, header):
         is_header = is_header & F.col(field.name).eqNullSafe(F.lit(title))
@@ -53,10 +57,10 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     a number, so leading zeros go).
     """
     lines = spark.read.text(path)
-    header = lines.first()
+    header = header_line(spark, path)
     line = F.col("value")
     if header is not None:
-        lines = lines.where(line != header[0])
+        lines = lines.where(line != header)
     return lines.select(
         date_customer_key(csv_field(line, 0), csv_field(line, 1)).alias("basket_id"),
         csv_field(line, 5).cast("bigint").alias("item"),

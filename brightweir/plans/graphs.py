@@ -191,14 +191,16 @@ def _(spark, sf_dir):
     "snk4_community_report",
     LABELS_SQL
     + """, c AS (SELECT min(id) OVER (PARTITION BY label) AS community,
-                 count(*) OVER (PARTITION BY label) AS size, id FROM labels)
-    SELECT size, community, id, '''' || id || '''' ||
-           CASE WHEN id = max(id) OVER (PARTITION BY community) THEN chr(10) ELSE ',' END AS text FROM c""",
+                 count(*) OVER (PARTITION BY label) AS size, id FROM labels),
+    o AS (SELECT id, row_number() OVER (ORDER BY size, community, id) AS pos, id = community AS opens FROM c)
+    SELECT CAST(id AS VARCHAR) AS value FROM o
+    UNION ALL SELECT CASE WHEN NOT opens THEN ',' WHEN pos = 1 THEN '' ELSE chr(10) END FROM o""",
 )
 def _(spark, sf_dir):
     path = new_dir(spark, "communities")
     members = graph.community_members(graph.label_propagation(edges(spark, sf_dir)))
-    return writers.write_community_report(cut(members), path)
+    writers.write_community_report(cut(members), path)
+    return spark.read.option("lineSep", "'").text(path)
 
 
 @query(

@@ -162,20 +162,19 @@ def _(spark, sf_dir):
     subsets_sql("brand_baskets")
     + f""", found AS (SELECT itemset, size FROM subs GROUP BY itemset, size
                  HAVING count(*) >= {views.sql_by_customers(*SUPPORT)}),
-    pieces AS (SELECT size AS grp, itemset,
-        '(''' || replace(itemset, '|', ''', ''') || ''')' ||
-        CASE WHEN row_number() OVER (PARTITION BY size ORDER BY string_split(itemset, '|') DESC) = 1
-             THEN chr(10) || chr(10) ELSE ',' END AS text FROM found)
-    SELECT section, grp, itemset, text FROM pieces, (VALUES (1), (2)) s(section)
-    UNION ALL SELECT 1, 0, '', 'Candidates:' || chr(10)
-    UNION ALL SELECT 2, 0, '', 'Frequent Itemsets:' || chr(10)""",
+    pieces AS (SELECT size, '(''' || replace(itemset, '|', ''', ''') || '''' AS label,
+        row_number() OVER (PARTITION BY size ORDER BY string_split(itemset, '|')) = 1 AS opens FROM found)
+    SELECT CASE WHEN NOT opens THEN ',' WHEN size > 1 THEN chr(10) || chr(10)
+                WHEN section = 1 THEN 'Candidates:' || chr(10)
+                ELSE chr(10) || chr(10) || 'Frequent Itemsets:' || chr(10) END || label AS value
+    FROM pieces, (VALUES (1), (2)) s(section)""",
 )
 def _(spark, sf_dir):
     rows, support = brand_job(spark, sf_dir)
     found = cut(itemsets.frequent_itemsets(rows, support))
     path = new_dir(spark, "itemset-report")
-    pieces = writers.write_itemset_report(found, found, path)
-    return pieces.select("section", "grp", F.concat_ws("|", "items").alias("itemset"), "text")
+    writers.write_itemset_report(found, found, path)
+    return spark.read.option("lineSep", ")").text(path)
 
 
 # ---------------------------------------------------------------- similarity

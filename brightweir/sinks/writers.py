@@ -1,16 +1,17 @@
 """Writers for the reports. Line reports are written as sorted pieces of text.
 
 A report line may list a whole community or all itemsets of one size, which no
-single row should have to hold. So each member is one row whose text ends in the
-separator that follows it, the rows are globally sorted, and the text writer adds
-no line ends of its own: the part files read in order are the report.
+single row should have to hold. So each member is one row, the rows are globally
+sorted, and each row opens with whatever separates it from the one before. The text
+writer closes every row with the character all members end in instead of a line
+end: the part files read in order are the report.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import edge_score_line, itemset_label, quoted
+from ..functions.text import edge_score_line, itemset_label
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
@@ -28,64 +29,57 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_pieces(pieces: DataFrame, path: str, text: str = "text") -> None:
-    pieces.select(F.col(text).alias("value")).write.mode("overwrite").option("lineSep", "").text(path)
+def write_pieces(pieces: DataFrame, path: str, closing: str) -> None:
+    """Write the sorted ``text`` rows, each followed by ``closing``."""
+    pieces.select(F.col("text").alias("value")).write.mode("overwrite").option("lineSep", closing).text(path)
 
 
-def itemset_pieces(itemsets: DataFrame, title: str) -> DataFrame:
-    """One section: a title line, then a line and a blank line per itemset size.
+def itemset_pieces(itemsets: DataFrame, opening: str) -> DataFrame:
+    """``(size, itemset, text)``: one section of the itemset report.
 
-    Returns ``(grp, items, text)``; group 0 is the title.
+    ``opening`` goes before the very first set; later sizes start after a blank
+    line. The closing bracket is left to the writer.
     """
-    last = itemsets.groupBy("size").agg(F.max("itemset").alias("last_set"))
-    body = itemsets.join(last, "size").select(
-        F.col("size").alias("grp"),
-        F.col("itemset").alias("items"),
-        F.concat(
-            itemset_label(F.col("itemset")),
-            F.when(F.col("itemset") == F.col("last_set"), "\n\n").otherwise(","),
-        ).alias("text"),
+    first = itemsets.groupBy("size").agg(F.min("itemset").alias("first_set"))
+    smallest = itemsets.agg(F.min("size")).scalar()
+    lead = (
+        F.when(F.col("itemset") != F.col("first_set"), ",")
+        .when(F.col("size") == smallest, opening)
+        .otherwise("\n\n")
     )
-    item_type = itemsets.schema["itemset"].dataType
-    head = itemsets.sparkSession.range(1).select(
-        F.lit(0).alias("grp"), F.array().cast(item_type).alias("items"), F.lit(f"{title}:\n").alias("text")
-    )
-    return head.unionByName(body)
+    label = itemset_label(F.col("itemset"))
+    text = F.concat(lead, F.left(label, F.length(label) - 1))
+    return itemsets.join(first, "size").select("size", "itemset", text.alias("text"))
 
 
-def write_itemset_report(candidates: DataFrame, frequent: DataFrame, path: str) -> DataFrame:
-    """Candidates section, then frequent section. Returns the pieces as written."""
+def write_itemset_report(candidates: DataFrame, frequent: DataFrame, path: str) -> None:
+    """Candidates section, then frequent section, grouped by size."""
     sections = (
-        itemset_pieces(candidates, "Candidates")
+        itemset_pieces(candidates, "Candidates:\n")
         .withColumn("section", F.lit(1))
-        .unionByName(itemset_pieces(frequent, "Frequent Itemsets").withColumn("section", F.lit(2)))
+        .unionByName(itemset_pieces(frequent, "\n\nFrequent Itemsets:\n").withColumn("section", F.lit(2)))
     )
-    ordered = sections.orderBy("section", "grp", "items")
-    write_pieces(ordered, path)
-    return ordered
+    write_pieces(sections.orderBy("section", "size", "itemset"), path, closing=")")
 
 
 def community_pieces(members: DataFrame) -> DataFrame:
     """``members(community, id, size)`` to one quoted piece per member.
 
     The community is named by its smallest member, so ordering by size, name and
-    id gives the report order.
+    id gives the report order. The closing quote is left to the writer.
     """
-    last = members.groupBy("community").agg(F.max("id").alias("last_id"))
-    return members.join(last, "community").select(
-        "size",
-        "community",
-        "id",
-        F.concat(
-            quoted(F.col("id")), F.when(F.col("id") == F.col("last_id"), "\n").otherwise(",")
-        ).alias("text"),
+    start = members.agg(F.min(F.struct("size", "community"))).scalar()
+    lead = (
+        F.when(F.col("id") != F.col("community"), ",")
+        .when(F.struct("size", "community") == start, "")
+        .otherwise("\n")
     )
+    text = F.concat(lead, F.lit("'"), F.col("id").cast("string"))
+    return members.select("size", "community", "id", text.alias("text"))
 
 
-def write_community_report(members: DataFrame, path: str) -> DataFrame:
-    ordered = community_pieces(members).orderBy("size", "community", "id")
-    write_pieces(ordered, path)
-    return ordered
+def write_community_report(members: DataFrame, path: str) -> None:
+    write_pieces(community_pieces(members).orderBy("size", "community", "id"), path, closing="'")
 
 
 def edge_report(scores: DataFrame, score: str = "betweenness") -> DataFrame:

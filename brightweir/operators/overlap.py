@@ -102,6 +102,7 @@ def overlap_pairs(rows: DataFrame, min_shared: int, heavy: int = HEAVY) -> DataF
     if min_shared > 1:
         enough = id_sizes(rows).where(F.col("n") >= min_shared).select("id")
         rows = rows.join(enough, "id", "left_semi")
+    rows = cut(rows)
     frequency = rows.groupBy("member").agg(F.count("*").alias("freq"))
     hot = cut(frequency.where(F.col("freq") > heavy))
     if hot.isEmpty():

@@ -37,10 +37,19 @@ def with_positions(ids: DataFrame, specs: list[HashSpec]) -> DataFrame:
     )
 
 
+def spread(positions: DataFrame) -> DataFrame:
+    """One row per id and bit position.
+
+    There is always a position, so the outer form gives the same rows; the plain one
+    would first filter on the size of the array and hash every id a second time.
+    """
+    return positions.select("id", "first", F.explode_outer("positions").alias("pos"))
+
+
 def bit_first(positions: DataFrame) -> DataFrame:
     """``(pos, bit)``: when each bit was first set. At most one row per bit."""
     return (
-        positions.select("first", F.explode("positions").alias("pos"))
+        spread(positions)
         .groupBy("pos")
         .agg(F.min("first").alias("bit"))
     )
@@ -51,7 +60,7 @@ def false_positives(positions: DataFrame, bits: DataFrame, m: int = BLOOM_BITS)
     if m <= BROADCAST_BITS:
         bits = F.broadcast(bits)  # at most m rows
     latest = (
-        positions.select("id", "first", F.explode("positions").alias("pos"))
+        spread(positions)
         .join(bits, "pos")
         .groupBy("id", "first")
         .agg(F.max("bit").alias("latest_bit"))

@@ -201,10 +201,10 @@ def _(spark, sf_dir):
     "flt2_min_support",
     with_views("supplier_baskets")
     + f""" SELECT item, count(*) AS cnt FROM supplier_baskets GROUP BY item
-    HAVING count(*) >= {views.sql_by_customers(550, 600, 600)}""",
+    HAVING count(*) >= {views.sql_by_customers(500, 600, 600)}""",
 )
 def _(spark, sf_dir):
-    support = views.by_customers(spark, sf_dir, 550, 600, 600)
+    support = views.by_customers(spark, sf_dir, 500, 600, 600)
     return reports.group_counts(views.supplier_baskets(spark, sf_dir), "item").where(F.col("cnt") >= support)
 
 
@@ -282,7 +282,7 @@ FEATURE_SQL = """,
 FEATURE_COLUMNS_SQL = """coalesce(uf.review_count, 0) AS user_review_count,
     round(coalesce(uf.average_stars, 0), 6) AS user_average_stars, coalesce(uf.useful, 0) AS user_useful,
     round(coalesce(bf.stars, 0), 6) AS item_stars, coalesce(bf.review_count, 0) AS item_review_count,
-    coalesce(TRY_CAST(bf.price AS INTEGER), 0) AS item_price_range"""
+    CAST(coalesce(TRY_CAST(bf.price AS INTEGER), 0) AS BIGINT) AS item_price_range"""
 
 
 @query(
@@ -534,7 +534,7 @@ def _(spark, sf_dir):
 @query(
     "agg11_min_per_key_and_hash",
     with_views("supplier_baskets")
-    + """ SELECT basket_id, h AS hash_idx, min((item * (2 * h + 3) + h) % 10007) AS minval
+    + """ SELECT basket_id, CAST(h AS INTEGER) AS hash_idx, min((item * (2 * h + 3) + h) % 10007) AS minval
     FROM supplier_baskets, range(0, 4) r(h) GROUP BY basket_id, h""",
 )
 def _(spark, sf_dir):
@@ -613,7 +613,7 @@ def _(spark, sf_dir):
 
 @query(
     "win1_top_n_per_group",
-    """SELECT l_suppkey, l_partkey, cnt, rnk FROM (
+    """SELECT l_suppkey, l_partkey, cnt, CAST(rnk AS INTEGER) AS rnk FROM (
         SELECT l_suppkey, l_partkey, cnt,
                row_number() OVER (PARTITION BY l_suppkey ORDER BY cnt DESC, l_partkey) AS rnk
         FROM (SELECT l_suppkey, l_partkey, count(*) AS cnt FROM lineitem GROUP BY l_suppkey, l_partkey))

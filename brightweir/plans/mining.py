@@ -223,12 +223,12 @@ def rounded(pairs):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("sim1_minhash_signatures", SIGNATURE_SQL + " SELECT set_id, hash_idx, minval FROM sig")
+@query("sim1_minhash_signatures", SIGNATURE_SQL + " SELECT set_id, CAST(hash_idx AS INTEGER) AS hash_idx, minval FROM sig")
 def _(spark, sf_dir):
     return similarity.minhash_signatures(views.word_sets(spark, sf_dir))
 
 
-@query("sim2_bands", SIGNATURE_SQL + " SELECT set_id, band, band_key FROM bands")
+@query("sim2_bands", SIGNATURE_SQL + " SELECT set_id, CAST(band AS INTEGER) AS band, band_key FROM bands")
 def _(spark, sf_dir):
     bands = similarity.lsh_bands(similarity.signature_arrays(views.word_sets(spark, sf_dir)))
     return bands.withColumn("band_key", F.concat_ws(",", F.col("band_key").cast("array<string>")))
@@ -237,7 +237,7 @@ def _(spark, sf_dir):
 @query("sim3_candidate_pairs", CANDIDATE_SQL + " SELECT id1, id2 FROM cand")
 def _(spark, sf_dir):
     bands = similarity.lsh_bands(similarity.signature_arrays(views.word_sets(spark, sf_dir)))
-    return similarity.lsh_candidates(cut(bands))
+    return similarity.lsh_candidates(bands)
 
 
 @query(

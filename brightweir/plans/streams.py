@@ -47,7 +47,7 @@ def hashes_sql(specs) -> str:
     )
 
 
-TAIL = "CASE WHEN value = 0 THEN {zero} ELSE bit_count((value & -value) - 1) END"
+TAIL = "CASE WHEN value = 0 THEN {zero} ELSE CAST(bit_count((value & -value) - 1) AS INTEGER) END"
 
 
 def registers_sql(specs, zero: int = 0, batch: int = DISTINCT_BATCH) -> str:
@@ -250,7 +250,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     ids = events(spark, sf_dir).select("id").distinct()
     return ids.withColumn("chunks", id_chunks(F.col("id"))).select(
-        "id", F.posexplode(hash_all(F.col("chunks"), bloom_family())).alias("hash_idx", "value")
+        "id", F.posexplode_outer(hash_all(F.col("chunks"), bloom_family())).alias("hash_idx", "value")
     )
 
 

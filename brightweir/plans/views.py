@@ -148,9 +148,12 @@ def business_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the outer form keeps Spark from splitting every text twice to filter empty arrays
     words = F.array_distinct(F.split("text", " "))
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("set_id"), F.explode(words).alias("member")
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.col("doc_id").alias("set_id"), F.explode_outer(words).alias("member"))
+        .where(F.col("member").isNotNull())
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import md5_bucket
+from ..runtime import cut
 
 
 def group_counts(df: DataFrame, key: str) -> DataFrame:
@@ -13,12 +14,16 @@ def group_counts(df: DataFrame, key: str) -> DataFrame:
 
 def top_counts(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The k most frequent keys, ties by key."""
-    return group_counts(df, key).orderBy(F.col("cnt").desc(), key).limit(k)
+    return best_keys(group_counts(df, key), key, k)
 
 
-def top_array(df: DataFrame, key: str, k: int = 10) -> DataFrame:
+def best_keys(counts: DataFrame, key: str, k: int) -> DataFrame:
+    return counts.orderBy(F.col("cnt").desc(), key).limit(k)
+
+
+def top_array(counts: DataFrame, key: str, k: int = 10) -> DataFrame:
     """One row: the k most frequent keys as an array of (id, cnt), best first."""
-    best = top_counts(df, key, k).select(
+    best = best_keys(counts, key, k).select(
         F.struct((-F.col("cnt")).alias("neg"), F.col(key).alias("id"), "cnt").alias("entry")
     )
     ordered = F.array_sort(F.collect_list("entry"))
@@ -30,21 +35,34 @@ def top_array(df: DataFrame, key: str, k: int = 10) -> DataFrame:
 def review_report(reviews: DataFrame, year: str = "2018", k: int = 10) -> DataFrame:
     """Counts, distinct counts and the two top-k lists in one row.
 
-    The distinct user and business counts are taken off the grouped counts that
-    the top-k lists need as well, so nothing is expanded per distinct column.
+    The reviews are read once: every review counts for its user and its business in
+    one grouping, and all figures are taken off the table of grouped counts.
     """
-    users = group_counts(reviews, "user_id")
-    businesses = group_counts(reviews, "business_id")
-    return reviews.agg(
-        F.count("*").alias("n_review"),
-        F.count_if(F.col("date").startswith(year)).alias("n_review_year"),
+    in_year = F.col("date").startswith(year)
+    sides = F.array(
+        F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("id")),
+        F.struct(F.lit("business").alias("kind"), F.col("business_id").alias("id")),
+    )
+    counts = cut(
+        reviews.select(in_year.alias("in_year"), F.inline(sides))
+        .groupBy("kind", "id")
+        .agg(F.count("*").alias("cnt"), F.count_if("in_year").alias("cnt_year"))
+    )
+    users = F.col("kind") == "user"
+    businesses = F.col("kind") == "business"
+    zero = F.lit(0).cast("bigint")
+    return counts.agg(
+        F.coalesce(F.sum(F.when(users, F.col("cnt"))), zero).alias("n_review"),
+        F.coalesce(F.sum(F.when(users, F.col("cnt_year"))), zero).alias("n_review_year"),
+        F.count(F.when(users, F.col("id"))).alias("n_user"),
+        F.count(F.when(businesses, F.col("id"))).alias("n_business"),
     ).select(
         "n_review",
         "n_review_year",
-        users.agg(F.count("user_id")).scalar().alias("n_user"),
-        top_array(reviews, "user_id", k).scalar().alias("top_user"),
-        businesses.agg(F.count("business_id")).scalar().alias("n_business"),
-        top_array(reviews, "business_id", k).scalar().alias("top_business"),
+        "n_user",
+        top_array(counts.where(users), "id", k).scalar().alias("top_user"),
+        "n_business",
+        top_array(counts.where(businesses), "id", k).scalar().alias("top_business"),
     )
 
 

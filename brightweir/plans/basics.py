@@ -400,8 +400,7 @@ def _(spark, sf_dir):
     wanted = itemsets.apriori(rows, support).where(F.col("size") == 2).select(F.lit(0).alias("bucket"), "itemset")
     tagged = rows.select(F.lit(0).alias("bucket"), "basket_id", "item")
     singles = tagged.select("bucket", "basket_id", F.array("item").alias("itemset"))
-    none_big = tagged.select("basket_id").limit(0)
-    found = itemsets.occurrences(singles, tagged, wanted, none_big, False)
+    found = itemsets.occurrences(singles, tagged, wanted)
     return found.select("basket_id", F.concat_ws("|", "itemset").alias("itemset"))
 
 

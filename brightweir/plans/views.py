@@ -45,30 +45,32 @@ def business(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dated_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_lines(spark, sf_dir).select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("item_id"),
-        stars().alias("stars"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+def as_ratings(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), stars().alias("stars")
     )
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dated_ratings(spark, sf_dir).drop("day")
+    return as_ratings(order_lines(spark, sf_dir))
 
 
 def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings up to the end of 2000; repeats stay in."""
-    return dated_ratings(spark, sf_dir).where(F.col("day") <= LAST_TRAIN_DAY).drop("day")
+    return as_ratings(order_lines(spark, sf_dir).where(F.col("o_orderdate") < first_test_day()))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later ratings, one per user and item."""
-    later = dated_ratings(spark, sf_dir).where(F.col("day") > LAST_TRAIN_DAY)
+    later = as_ratings(order_lines(spark, sf_dir).where(F.col("o_orderdate") >= first_test_day()))
     return later.groupBy("user_id", "item_id").agg(F.max("stars").alias("stars"))
 
 
+def first_test_day() -> F.Column:
+    """As a timestamp, so the filter reaches the scan of the orders."""
+    return F.date_add(F.lit(LAST_TRAIN_DAY).cast("date"), 1).cast("timestamp_ntz")
+
+
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later pairs, and per nation a row with an unknown user, item, or both."""
     key = F.col("n_nationkey").cast("bigint") + 1

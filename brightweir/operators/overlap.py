@@ -154,20 +154,21 @@ def light_counts(rows: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(hot_rows: DataFrame, min_shared: int, block: int) -> DataFrame:
-    """Distinct pairs that meet outside the ``min_shared - 1`` hottest members of each id."""
-    proposing = hot_rows
-    if min_shared > 1:
-        # Spark limits each id to its top rows before the shuffle (window group limit)
-        ranked = hot_rows.withColumn("rank", hottest_rank())
-        top = ranked.where(F.col("rank") < min_shared).select("id", "member")
-        proposing = hot_rows.join(top, ["id", "member"], "left_anti")
-    return (
-        blocked_pairs(proposing, ["member"], "freq", block).select("id1", "id2").distinct()
-    )
+    """Distinct pairs that meet outside the ``min_shared - 1`` hottest members of each id.
 
-
-def hottest_rank() -> Column:
-    return F.row_number().over(Window.partitionBy("id").orderBy(F.col("freq").desc(), F.col("member").desc()))
+    The limit of an id is read off its histogram of frequencies, which is far smaller
+    than its members. Members that tie at the limit stay in; that only adds proposals.
+    """
+    histogram = hot_rows.groupBy("id", "freq").agg(F.count("*").alias("here"))
+    hottest_first = Window.partitionBy("id").orderBy(F.col("freq").desc())
+    limits = (
+        histogram.withColumn("as_hot", F.sum("here").over(hottest_first))
+        .where(F.col("as_hot") >= min_shared)
+        .groupBy("id")
+        .agg(F.max("freq").alias("cut_freq"))
+    )
+    proposing = hot_rows.join(limits, "id").where(F.col("freq") <= F.col("cut_freq"))
+    return blocked_pairs(proposing, ["member"], "freq", block).select("id1", "id2").distinct()
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -84,3 +84,13 @@ def test_co_ratings_same_with_and_without_hot_users(spark, heavy):
         heavy,
     )
     assert sorted((r.id1, r.id2, r.member, r.value1, r.value2) for r in got.collect()) == expected
+
+
+def test_item_held_by_everyone_stays_cheap(spark):
+    # 20,000 users share item 0; pairing its group would make 200 million rows
+    users = spark.range(20000)
+    first, second = F.pmod(F.xxhash64("id"), F.lit(3000)) + 1, F.pmod(F.xxhash64("id", F.lit(5)), F.lit(3000)) + 5000
+    pairs = users.select("id", F.explode(F.array(F.lit(0).cast("bigint"), first, second)).alias("item"))
+    twins = users.groupBy(first.alias("a"), second.alias("b")).agg(F.count("*").alias("n"))
+    expected = twins.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    assert cooccurrence_edges(pairs, 3).count() == expected > 0

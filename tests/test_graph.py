@@ -77,7 +77,7 @@ def brute_components(edges, vertices):
 
 
 def brute_split(edges):
-    """Plain loop over the whole graph, as the reference result for the split."""
+    """Plain loop over the whole graph: what the split must give."""
     near = neighbours(edges)
     degree = {v: len(near[v]) for v in near}
     m = len(edges)

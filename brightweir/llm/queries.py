@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from . import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import bpe, simhash
 from .common import table
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
 
 
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def bpe_digests(docs, tokenizer: str = TOKENIZER):
+    """Encode every text, decode the ids, and give digests of both."""
+    ranks = bpe.read_ranks(public_tokenizers.path(tokenizer))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op2_byte_bpe")
+def _(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash_near_dedup")
 def _(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, max_bits=4)

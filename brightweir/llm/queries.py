@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import table
+from . import bpe, simhash, toxicity
+from .common import fold, table
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -35,3 +35,10 @@ def _(spark, sf_dir):
 @query("op4_simhash_near_dedup")
 def _(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
+@query("op6_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")

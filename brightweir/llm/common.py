@@ -25,7 +25,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     several times, with few of its columns, does not compute it again.
     """
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, toxicity
+from . import bpe, lm, simhash, topk, toxicity
 from .common import fold, table
 from .registry import CHECKS, QUERIES, query
 
@@ -42,3 +42,14 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_lm_scoring")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lm.score(docs.withColumn("held_out", fold() == 1))
+
+
+@query("op10_exact_top_k")
+def _(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, lm, simhash, topk, toxicity
+from ..runtime import new_dir
+from . import bpe, lm, simhash, topk, toxicity, warc
 from .common import fold, table
 from .registry import CHECKS, QUERIES, query
 
@@ -53,3 +54,17 @@ def _(spark, sf_dir):
 @query("op10_exact_top_k")
 def _(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op7_warc")
+def _(spark, sf_dir):
+    path = new_dir(spark, "pages-warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages"), least_bytes=0), path)
+    records = warc.read_warc(spark, path, payload=False, verify=True)
+    return records.where(F.col("record_type").isin("response", "revisit")).select(
+        warc.page_id_of("record_id").alias("page_id"),
+        "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        "record_type",
+        warc.page_id_of("refers_to").alias("refers_to"),
+    )

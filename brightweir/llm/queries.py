@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..runtime import new_dir
-from . import bpe, lm, simhash, topk, toxicity, warc
+from . import bpe, decontaminate, lm, simhash, topk, toxicity, warc
 from .common import fold, table
 from .registry import CHECKS, QUERIES, query
 
@@ -68,3 +68,8 @@ def _(spark, sf_dir):
         "record_type",
         warc.page_id_of("refers_to").alias("refers_to"),
     )
+
+
+@query("op3_decontamination", decontaminate.CHECK)
+def _(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..runtime import new_dir
-from . import bpe, decontaminate, lm, simhash, topk, toxicity, warc
+from . import bpe, decontaminate, lm, pii, simhash, topk, toxicity, warc
 from .common import fold, table
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
 
 
+#: Key of the surrogates; a real run passes its own.
+PII_KEY = "an example key"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -73,3 +75,9 @@ def _(spark, sf_dir):
 @query("op3_decontamination", decontaminate.CHECK)
 def _(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_pii_surrogates")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.replace(docs, key=PII_KEY).select("doc_id", "text", "pii_entities")

@@ -147,20 +147,37 @@ def slices(words: list[bytes]) -> Iterator[tuple[int, Layout]]:
             start, size = i + 1, 0
 
 
+def counted(keys: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    found, back = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, back, weight)
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["key", "n"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and their counts from several batches, ``BLOCK_WORDS`` or a little more at once."""
+    texts: list[bytes] = []
+    counts: list[np.ndarray] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        counts.append(batch.column(1).to_numpy())
+        if len(texts) >= BLOCK_WORDS:
+            yield texts, np.concatenate(counts)
+            texts, counts = [], []
+    if texts:
+        yield texts, np.concatenate(counts)
+
+
 def grams(words: DataFrame, order: int) -> DataFrame:
     """``(key, n)``: how often each byte follows each context of up to ``order`` bytes; ``words`` has ``(word, n)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for texts, n in gathered(batches):
             for start, layout in slices(texts):
                 weight = n[start:][layout.word]
                 for length in range(1, order + 2):
                     at, keys = layout.keys(length)
-                    found, back = np.unique(keys, return_inverse=True)
-                    total = np.zeros(len(found), np.int64)
-                    np.add.at(total, back, weight[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["key", "n"])
+                    yield counted(keys, weight[at])
 
     return words.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -187,30 +204,19 @@ def word_blocks(words: DataFrame, order: int) -> DataFrame:
     """Rows of two kinds, by block: ``word`` to be scored, and ``key`` of the nodes that its block asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, block = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
-            whole = batch.column(0).to_pylist()
-            for at in range(0, len(whole), BLOCK_WORDS):
-                some = whole[at : at + BLOCK_WORDS]
-                keys = [np.zeros(1, np.int64)]
-                for _, layout in slices(some):
-                    # contexts are grams one byte shorter, or the opening separator alone
-                    keys += [np.unique(layout.keys(n)[1]) for n in range(1, order + 2)]
-                wanted = np.unique(np.concatenate(keys))
-                wanted = np.union1d(wanted, np.array([(1 << 56) | SEPARATOR]))
-                for word, key in ((pa.array(some, pa.binary()), None), (None, pa.array(wanted))):
-                    n = len(some) if key is None else len(wanted)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([task + block] * n, pa.int64()),
-                            word if word is not None else pa.nulls(n, pa.binary()),
-                            key if key is not None else pa.nulls(n, pa.int64()),
-                        ],
-                        ["block", "word", "key"],
-                    )
-                block += 1
-
-    return words.select("word").mapInArrow(run, "block bigint, word binary, key bigint")
+        block = TaskContext.get().partitionId() << 24
+        for some, _ in gathered(batches):
+            # contexts are grams one byte shorter, or the opening separator alone
+            wanted = np.array([0, (1 << 56) | SEPARATOR])
+            for _, layout in slices(some):
+                wanted = np.unique(np.concatenate([wanted, *(layout.keys(n)[1] for n in range(1, order + 2))]))
+            for column in (pa.array(some, pa.binary()), pa.array(wanted)):
+                empty = pa.nulls(len(column), pa.int64() if column.type == pa.binary() else pa.binary())
+                pair = [column, empty] if column.type == pa.binary() else [empty, column]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(column), pa.int64()), *pair], ["block", "word", "key"])
+            block += 1
+
+    return words.select("word", "n").mapInArrow(run, "block bigint, word binary, key bigint")
 
 
 def log_probabilities(words: list[bytes], nodes: dict[str, np.ndarray], order: int) -> np.ndarray:

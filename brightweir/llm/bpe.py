@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship
 
 NONE = np.int32(2**31 - 1)
-CHUNK_CHARS = 1 << 21  # text handled at once in a worker
-CACHE_PIECES = 800_000  # distinct pieces a worker remembers before it starts afresh
+CHUNK_CHARS = 1 << 20  # text handled at once in a worker
+CACHE_PIECES = 300_000  # distinct pieces a worker remembers before it starts afresh
 # Fixed value: the Unicode White_Space characters, which \s means in the pattern.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 

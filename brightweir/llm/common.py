@@ -29,8 +29,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Spark send this package to the Python workers, once for each session's context."""
+    """Let Spark send this package to the Python workers, once for each context, in small batches.
+
+    Texts may be long: batches of Spark's default row count would hold too many of them.
+    Batch sizes that the session sets itself are kept.
+    """
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     context = spark.sparkContext
     if getattr(context, "_shipped_package", False):
         return

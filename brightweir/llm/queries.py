@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..runtime import new_dir
-from . import bpe, decontaminate, lm, pii, simhash, topk, toxicity, warc
-from .common import fold, table
+from . import bpe, decontaminate, licenses, lm, pii, simhash, token_counts, topk, toxicity, warc
+from .common import fold, table, text_or_empty
 from .registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -81,3 +81,26 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pii.replace(docs, key=PII_KEY).select("doc_id", "text", "pii_entities")
+
+
+@query("op8_license_scans", licenses.check_sql())
+def _(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@query("op5_token_counts", token_counts.CHECK)
+def _(spark, sf_dir):
+    """Insert all documents, delete all copies but the first, count German and French anew, and deliver one batch twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, new_dir(spark, "token-rollup"))
+    first = docs.groupBy(F.md5(text_or_empty()).alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copied = first.where("n > 1").select("digest", "first")
+    marked = docs.withColumn("digest", F.md5(text_or_empty())).join(copied, "digest", "left")
+    copies = marked.where("first is not null and doc_id <> first")
+    moved = marked.where("lang in ('de', 'fr') and (first is null or doc_id = first)")
+    rollup.commit("insert", token_counts.inserted(token_counts.counted(docs, "words-1")))
+    rollup.commit("delete", token_counts.deleted(token_counts.counted(copies, "words-1")))
+    for _ in range(2):
+        rollup.commit("revise", token_counts.revised(token_counts.counted(moved, "words-1"), token_counts.counted(moved, "words-2")))
+    rollup.fold(["insert", "delete"], "base")
+    return rollup.totals(["base", "revise"])

@@ -54,9 +54,9 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts[:last].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Bit b is 1 if it is set in more than half of the shingles' XXH64 values."""
-    values = [xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)]
+def fingerprint(features: list[bytes], seed: int = SEED) -> int:
+    """Bit b is 1 if it is set in more than half of the features' XXH64 values."""
+    values = [xxhash.xxh64_intdigest(f, seed) for f in features]
     if not values:
         return 0
     columns = np.array(values, dtype="<u8").view(np.uint8).reshape(-1, 8) + BYTE_PLACE
@@ -65,18 +65,26 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, one row for each row of ``docs``; a null text counts as empty."""
+def fingerprints(
+    docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,), distinct: bool = False
+) -> DataFrame:
+    """``(doc_id, fps)``, one row for each row of ``docs``: a fingerprint for each seed; a null text counts as empty.
+
+    ``distinct`` takes every shingle once, however often it is repeated.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            found = [fingerprint(t.as_py() or b"", words) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = []
+            for text in batch.column(1).cast(pa.large_binary()):
+                features = shingles(text.as_py() or b"", words)
+                features = list(set(features)) if distinct else features
+                found.append([fingerprint(features, seed) for seed in seeds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fps array<bigint>")
 
 
 def variant_keys(fps: np.ndarray) -> np.ndarray:
@@ -187,7 +195,8 @@ def simhash_components(
     results; a null id is kept and is never the smallest while another id is there.
     An empty table gives no rows; other columns of ``docs`` are not looked at.
     """
-    marks = saved(fingerprints(docs, words, id_col, text_col), "simhash-marks")
+    marks = fingerprints(docs, words, id_col, text_col).select("doc_id", F.get("fps", F.lit(0)).alias("fp"))
+    marks = saved(marks, "simhash-marks")
     lowest = saved(marks.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "simhash-distinct")
     parts = linked_components(lowest, max_bits).join(lowest, "fp")
     parts = saved(parts, "simhash-parts")
@@ -196,3 +205,44 @@ def simhash_components(
     return marks.join(by_fp, marks["fp"] == by_fp["mark"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def near_groups(
+    docs: DataFrame, words: int = 1, max_bits: int = MAX_BITS, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, group_id)``: documents linked by any of several fingerprints of their distinct words.
+
+    A near copy with a few words changed differs from its original in about five of 64
+    bits; several seeds give it several chances to stay within ``max_bits``. Groups are
+    named by their smallest id. Null and empty texts form one group. Rows with a null
+    id are left out; an id that several rows bear may be in several groups.
+    """
+    marks = fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, seeds, distinct=True)
+    marks = saved(marks, "near-marks")
+    texts = saved(marks.groupBy("fps").agg(F.min("doc_id").alias("src")), "near-texts")
+    links = []
+    for i in range(len(seeds)):
+        nodes = texts.select("src", F.get("fps", F.lit(i)).alias("fp"))
+        parts = linked_components(nodes.select("fp").distinct(), max_bits)
+        placed = saved(nodes.join(parts, "fp").select("src", "component"), "near-parts")
+        lowest = placed.groupBy("component").agg(F.min("src").alias("dst"))
+        links.append(placed.join(lowest, "component").where("src <> dst").select("src", "dst"))
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    groups = connected_components(saved(edges, "near-edges"))
+    named = texts.join(groups, texts["src"] == groups["id"], "left").select(
+        F.col("fps").alias("mark"), F.coalesce("component", "src").alias("group_id")
+    )
+    return marks.join(named, marks["fps"] == named["mark"]).select("doc_id", "group_id")
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of ``near_groups``, that of the smallest id.
+
+    All columns are kept. Rows with a null id stay, as nothing could name them; rows
+    that repeat an id stay or go together, and go if one of them does.
+    """
+    id_col = options.get("id_col", "doc_id")
+    gone = near_groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(saved(gone, "near-gone"), id_col, "left_anti")

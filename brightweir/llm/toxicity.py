@@ -339,3 +339,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     for name, weight in zip(FEATURES, model.weights, strict=True):
         total = total + F.col(name) * F.lit(weight)
     return found.select("doc_id", (1 / (1 + F.exp(-total))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(model.terms)
+        for batch in batches:
+            totals = [
+                model.intercept + sum(w * f for w, f in zip(model.weights, features(t.as_py() or "", automaton), strict=True))
+                for t in batch.column(at)
+            ]
+            yield batch.filter(pa.array([total < 0 for total in totals], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

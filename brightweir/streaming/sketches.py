@@ -45,55 +45,37 @@ def bloom_stream(
     specs: list[HashSpec] | None = None,
     m: int = BLOOM_BITS,
 ) -> DataFrame:
-    """Run the Bloom filter over a stream that arrives in seq order; see ``bloom_fpr``.
+    """Run the Bloom filter over a stream that arrives in any order; see ``bloom_fpr``.
 
-    The state store keeps the first position of every id. The filter itself, at most
-    m rows of (position, first set), is written as a whole after each epoch together
-    with the last seq, and the next epoch starts from it.
+    An epoch writes the first position of each of its ids, the first time each bit is
+    set, and its batches. All three merge by minima, so rows that arrive late correct
+    what earlier epochs said, and the result is that of the whole stream in seq order.
     """
     spark = stream.sparkSession
     specs = specs or bloom_family()
-    seen = stream.groupBy("id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-
-    def advance(updates: DataFrame, epoch: int) -> None:
-        session = updates.sparkSession
-        updates = updates.persist()
-        done, bits = -1, None
-        if epoch > 0:
-            done = session.read.parquet(epoch_dir(folder, "progress", epoch - 1)).first()["done"]
-            bits = session.read.parquet(epoch_dir(folder, "bits", epoch - 1))
-        last = updates.agg(F.max("last")).first()[0]
-        last = done if last is None else max(done, last)
-        fresh = with_positions(updates.where(F.col("first") > done).select("id", "first"), specs).persist()
-        merged = bit_first(fresh)
-        if bits is not None:
-            merged = bits.unionByName(merged).groupBy("pos").agg(F.min("bit").alias("bit"))
-        merged.write.mode("overwrite").parquet(epoch_dir(folder, "bits", epoch))
-        bits_now = session.read.parquet(epoch_dir(folder, "bits", epoch))
-        counts = (
-            false_positives(fresh, bits_now, m)
-            .groupBy(F.floor(F.col("first") / batch_size).cast("bigint").alias("batch"))
-            .agg(F.count("*").alias("new_ids"), F.count_if("fp").alias("false_positives"))
-        )
-        start, end = (done + 1) // batch_size, last // batch_size + 1
-        batches = session.range(start, max(start, end)).withColumnRenamed("id", "batch")
-        zero = F.lit(0).cast("bigint")
-        batches.join(counts, "batch", "left").select(
-            "batch",
-            F.coalesce("new_ids", zero).alias("new_ids"),
-            F.coalesce("false_positives", zero).alias("false_positives"),
-        ).write.mode("overwrite").parquet(epoch_dir(folder, "metrics", epoch))
-        session.range(1).select(F.lit(last).cast("bigint").alias("done")).write.mode("overwrite").parquet(
-            epoch_dir(folder, "progress", epoch)
-        )
-        fresh.unpersist()
-        updates.unpersist()
 
-    run_available(seen.writeStream.outputMode("update").foreachBatch(advance), f"{folder}/checkpoint")
-    metrics = read_table(spark, folder, "metrics", "batch bigint, new_ids bigint, false_positives bigint")
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()
+        ids = rows.groupBy("id").agg(F.min("seq").alias("first"))
+        ids.write.mode("overwrite").parquet(epoch_dir(folder, "firsts", epoch))
+        bit_first(with_positions(ids, specs)).write.mode("overwrite").parquet(epoch_dir(folder, "bits", epoch))
+        batches = rows.select(F.floor(F.col("seq") / batch_size).cast("bigint").alias("batch")).distinct()
+        batches.write.mode("overwrite").parquet(epoch_dir(folder, "batches", epoch))
+        rows.unpersist()
+
+    run_available(stream.select("seq", "id").writeStream.foreachBatch(keep), f"{folder}/checkpoint")
+    firsts = read_table(spark, folder, "firsts", "id string, first bigint").groupBy("id").agg(F.min("first").alias("first"))
+    bits = read_table(spark, folder, "bits", "pos bigint, bit bigint").groupBy("pos").agg(F.min("bit").alias("bit"))
+    batches = read_table(spark, folder, "batches", "batch bigint").select("batch").distinct()
+    counts = (
+        false_positives(with_positions(firsts, specs), bits, m)
+        .groupBy(F.floor(F.col("first") / batch_size).cast("bigint").alias("batch"))
+        .agg(F.count("*").alias("new_ids"), F.count_if("fp").alias("false_positives"))
+    )
+    zero = F.lit(0).cast("bigint")
     return (
-        metrics.groupBy("batch")
-        .agg(F.sum("new_ids").alias("new_ids"), F.sum("false_positives").alias("false_positives"))
+        batches.join(counts, "batch", "left")
+        .select("batch", F.coalesce("new_ids", zero).alias("new_ids"), F.coalesce("false_positives", zero).alias("false_positives"))
         .withColumn("fpr", rate(F.col("false_positives"), F.col("new_ids")))
     )
 
@@ -105,43 +87,33 @@ def fm_stream(
     specs: list[HashSpec] | None = None,
     group_size: int = 10,
     tail=trailing_zeros,
-    late_batches: int = 1,
 ) -> DataFrame:
-    """Distinct-count estimate per tumbling batch; see ``fm_estimate``.
+    """Distinct-count estimate per tumbling batch of a stream in any order; see ``fm_estimate``.
 
-    The event number serves as event time in seconds, so a watermark can drop the
-    state of a batch once ``late_batches`` further ones have passed. State per open
-    batch is one register per hash and its ids, at most ``batch_size`` of them.
+    An epoch writes its registers and its distinct ids by batch. Registers merge by
+    maxima and ids by union, so no batch is ever closed and late rows count.
     """
     spark = stream.sparkSession
     specs = specs or distinct_family()
-    timed = zero_counts(stream.select("seq", "id"), specs, tail).withColumn(
-        "at", F.timestamp_seconds("seq")
-    )
-    peaks = [F.max(F.col("tails")[i]).alias(f"r{i}") for i in range(len(specs))]
-    per_batch = (
-        timed.withWatermark("at", f"{late_batches * batch_size} seconds")
-        .groupBy(F.window("at", f"{batch_size} seconds").alias("span"))
-        .agg(F.size(F.collect_set("id")).alias("truth"), *peaks)
-        .select(
-            (F.unix_timestamp("span.start") / batch_size).cast("bigint").alias("batch"),
-            F.col("truth").cast("bigint").alias("truth"),
-            register_estimate(
-                F.array(*[f"r{i}" for i in range(len(specs))]), len(specs), group_size
-            ).alias("estimate"),
-        )
-    )
+    names = [f"r{i}" for i in range(len(specs))]
 
-    def keep(updates: DataFrame, epoch: int) -> None:
-        updates.write.mode("overwrite").parquet(epoch_dir(folder, "estimates", epoch))
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows = rows.select("seq", "id").persist()
+        batch = F.floor(F.col("seq") / batch_size).cast("bigint").alias("batch")
+        peaks = [F.max(F.col("tails")[i]).cast("bigint").alias(name) for i, name in enumerate(names)]
+        zero_counts(rows, specs, tail).groupBy(batch).agg(*peaks).write.mode("overwrite").parquet(
+            epoch_dir(folder, "registers", epoch)
+        )
+        rows.select(batch, "id").distinct().write.mode("overwrite").parquet(epoch_dir(folder, "ids", epoch))
+        rows.unpersist()
 
-    run_available(per_batch.writeStream.outputMode("update").foreachBatch(keep), f"{folder}/checkpoint")
-    rows = read_table(spark, folder, "estimates", "batch bigint, truth bigint, estimate bigint")
-    return (
-        rows.groupBy("batch")
-        .agg(F.max_by(F.struct("truth", "estimate"), "epoch").alias("latest"))
-        .select("batch", "latest.truth", "latest.estimate")
-    )
+    run_available(stream.writeStream.foreachBatch(keep), f"{folder}/checkpoint")
+    columns = ", ".join(f"{name} bigint" for name in names)
+    registers = read_table(spark, folder, "registers", f"batch bigint, {columns}").groupBy("batch").agg(*[F.max(n).alias(n) for n in names])
+    ids = read_table(spark, folder, "ids", "batch bigint, id string").select("batch", "id").distinct()
+    truth = ids.groupBy("batch").agg(F.count("*").alias("truth"))
+    estimate = register_estimate(F.array(*names), len(specs), group_size)
+    return truth.join(registers, "batch").select("batch", "truth", estimate.alias("estimate"))
 
 
 def reservoir_stream(

@@ -39,6 +39,11 @@ def draw(text: str) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
+def wide_draw(text: str) -> int:
+    """Reproducible 64-bit number: the first sixteen hex digits of md5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:16], 16)
+
+
 def draw_column(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
@@ -96,9 +101,18 @@ def hash_all(chunks: Column, specs: list[HashSpec]) -> Column:
 
 
 def linear_hash(index: Column, a: int, b: int, m: int) -> Column:
-    return (index.cast("bigint") * a + b) % m
+    """``(index * a + b) % m`` for m below 2^46, in halves of a, so that no product leaves a bigint."""
+    half = 1 << 16
+    x = index.cast("bigint") % m
+    if m < 1 << 31:
+        return (x * a + b) % m
+    out = F.lit(0).cast("bigint")
+    for digit in reversed([a >> (16 * i) & (half - 1) for i in range(3)]):
+        out = (out * half + x * digit) % m
+    return (out + b) % m
 
 
 def minhash_coefficients(n: int, m: int) -> list[tuple[int, int]]:
-    """n pairs (a, b) with 1 <= a < m and 0 <= b < m, drawn by rule."""
-    return [(1 + draw(f"minhash-a-{i}") % (m - 1), draw(f"minhash-b-{i}") % m) for i in range(n)]
+    """n pairs (a, b) with 1 <= a < m and 0 <= b < m, drawn by rule; for a modulus beyond 32 bits from wider draws."""
+    pick = draw if m <= 1 << 32 else wide_draw
+    return [(1 + pick(f"minhash-a-{i}") % (m - 1), pick(f"minhash-b-{i}") % m) for i in range(n)]

@@ -38,7 +38,11 @@ def itemset_label(items: Column) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", F.transform(items, quoted)), F.lit(")"))
 
 
+def plain_decimal(value: Column, digits: int) -> Column:
+    """A number rounded to ``digits``, without exponent or closing zeros, but with one decimal at least."""
+    fixed = F.format_string(f"%.{digits}f", F.round(value, digits))
+    return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+
+
 def edge_score_line(src: Column, dst: Column, score: Column) -> Column:
-    return F.format_string(
-        "('%s', '%s'),%s", src.cast("string"), dst.cast("string"), F.round(score, 5).cast("string")
-    )
+    return F.format_string("('%s', '%s'),%s", src.cast("string"), dst.cast("string"), plain_decimal(score, 5))

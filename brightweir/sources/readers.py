@@ -31,10 +31,12 @@ def read_json_inferred(spark: SparkSession, path: str, *columns: str) -> DataFra
 
 
 def header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of the first file by name."""
-    files = sorted(spark.read.text(path).inputFiles())
-    first = spark.read.text(files[0]).first() if files else None
-    return None if first is None else first[0]
+    """First line of the first file by name that is not empty; None if all are."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("title"))
+    return first.agg(F.min_by("title", "file")).first()[0]
 
 
 def read_header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

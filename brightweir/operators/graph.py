@@ -14,6 +14,7 @@ from .overlap import HEAVY, overlap_pairs, union_all
 from .relational import chunked_sets, symmetric, vertices_of
 
 CUT_EVERY = 4
+ROOT_BLOCK = 2_000
 
 
 def cooccurrence_edges(pairs: DataFrame, threshold: int, heavy: int = HEAVY) -> DataFrame:
@@ -66,14 +67,14 @@ def communities(labels: DataFrame, chunk_size: int = 10000) -> DataFrame:
     )
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame | None = None) -> list[DataFrame]:
+def bfs_levels(both: DataFrame, start: DataFrame) -> list[DataFrame]:
     """One table ``(root, node, sigma)`` per distance; sigma counts shortest paths.
 
+    ``both`` has every edge in both directions, ``start`` the roots.
+
     A neighbour of distance d lies at d-1, d or d+1, so a new frontier only has to be
     compared with the last two.
     """
-    both = cut(symmetric(edges))
-    start = vertices_of(edges) if roots is None else roots
     frontier = cut(start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("sigma")))
     levels = [frontier]
     while True:
@@ -93,19 +94,37 @@ def bfs_levels(edges: DataFrame, roots: DataFrame | None = None) -> list[DataFra
 
 def bfs_all(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(root, node, level, sigma)`` for every root and every node it reaches."""
-    return union_all(
-        [level.withColumn("level", F.lit(i)) for i, level in enumerate(bfs_levels(edges, roots))]
-    ).select("root", "node", "level", "sigma")
+    start = vertices_of(edges) if roots is None else roots
+    levels = bfs_levels(cut(symmetric(edges)), start)
+    return union_all([level.withColumn("level", F.lit(i)) for i, level in enumerate(levels)]).select("root", "node", "level", "sigma")
 
 
 def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(src, dst, betweenness)``: shortest-path credit of each edge over all roots, halved.
 
     Credit flows from the deepest level up: a node passes ``sigma_p / sigma_n`` of one
-    plus what it received to each predecessor p.
+    plus what it received to each predecessor p. Roots are taken in blocks of about
+    ``ROOT_BLOCK`` whose credits add up, so no more than a block's paths exist at once.
     """
-    levels = bfs_levels(edges, roots)
     both = cut(symmetric(edges))
+    start = cut(vertices_of(edges) if roots is None else roots)
+    blocks = -(-start.count() // ROOT_BLOCK)
+    if blocks <= 1:
+        flows = path_credits(both, start)
+    else:
+        blocked = cut(start.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
+        flows = []
+        for i in range(blocks):
+            part = path_credits(both, blocked.where(F.col("block") == i).select("id"))
+            flows += [cut(union_all(part).groupBy("src", "dst").agg(F.sum("credit").alias("credit")))] if part else []
+    if not flows:
+        return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
+    return union_all(flows).groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
+
+
+def path_credits(both: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """Credits ``(src, dst, credit)`` of the paths from ``roots``, one table for each depth."""
+    levels = bfs_levels(both, roots)
     received = None
     flows = []
     for depth in range(len(levels) - 1, 0, -1):
@@ -133,9 +152,7 @@ def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None) -> DataFr
             .agg(F.sum("credit").alias("credit"))
         )
         received = flow.groupBy("root", F.col("parent").alias("node")).agg(F.sum("credit").alias("delta"))
-    if not flows:
-        return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
-    return union_all(flows).groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
+    return flows
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:

@@ -29,24 +29,31 @@ def blocked_pairs(
     """Rows of the same group joined to (id1, id2) with id1 < id2.
 
     A group of ``n`` rows is cut into ``ceil(n / block)`` blocks by hash of the id,
-    and every pair of blocks is a join key of its own, so no key ever carries more
-    than about block x block pairs. Small groups stay in one block. ``carry``
+    and every two blocks, in one order only, are a join key of their own, so no key ever
+    carries more than about block x block pairs. Small groups stay in one block. ``carry``
     columns come out twice, suffixed 1 and 2, and ``condition`` may use them.
     """
     n_blocks = F.ceil(F.col(group_size) / block).cast("int")
     base = rows.select(*group, "id", *carry, n_blocks.alias("n_blocks")).withColumn(
         "own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
     )
-    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
 
-    def side(n: int, own: str, other: str) -> DataFrame:
-        named = [F.col(c).alias(f"{c}{n}") for c in ("id", *carry)]
-        return base.select(*group, *named, F.col("own").alias(own), others.alias(other))
+    def side(n: str, own: str, other: str, partners: Column) -> DataFrame:
+        named = [F.col(c).alias(f"{n}_{c}") for c in ("id", *carry)]
+        return base.select(*group, *named, F.col("own").alias(own), F.explode(partners).alias(other))
 
-    keys = [*group, "block1", "block2"]
-    left = side(1, "block1", "block2")
-    right = side(2, "block2", "block1")
-    pairs = left.join(right, keys).where(F.col("id1") < F.col("id2"))
+    left = side("a", "block1", "block2", F.sequence(F.col("own"), F.col("n_blocks") - 1))
+    right = side("b", "block2", "block1", F.sequence(F.lit(0), F.col("own")))
+    met = left.join(right, [*group, "block1", "block2"]).where(
+        (F.col("block1") < F.col("block2")) | (F.col("a_id") < F.col("b_id"))
+    )
+    ordered = F.col("a_id") < F.col("b_id")
+    named = [
+        F.when(ordered, F.col(f"{one}_{c}")).otherwise(F.col(f"{two}_{c}")).alias(f"{c}{n}")
+        for c in ("id", *carry)
+        for n, one, two in ((1, "a", "b"), (2, "b", "a"))
+    ]
+    pairs = met.select(*group, *named)
     return pairs.where(condition) if condition is not None else pairs
 
 

@@ -8,16 +8,24 @@ from ..runtime import cut
 
 
 def chunked_sets(df: DataFrame, key: str, item: str, chunk_size: int = 10000) -> DataFrame:
-    """Items per key as sorted arrays of about ``chunk_size`` entries at most.
+    """Items per key as sorted arrays of at most ``chunk_size`` entries.
 
-    A key with few items has one row, chunk 0. A key with many is spread over
-    several rows and tasks, so no array grows with the data.
+    Chunks 0, 1, 2, ... of a key, put one after another, are its sorted list. Items are
+    ranked by range partitions and offsets, so a key with any number of items is
+    spread over tasks and no array grows with the data.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("n_items"))
-    n_chunks = F.ceil(F.col("n_items") / chunk_size).cast("bigint")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.select(key, item).repartitionByRange(parts, key, item).select(key, item, F.spark_partition_id().alias("part")))
+    local = Window.partitionBy("part", key).orderBy(item)
+    sizes = cut(ranged.groupBy(key, "part").agg(F.count("*").alias("n")))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy(key)).alias("n_items")
+    )
+    place = F.col("offset") + F.row_number().over(local) - 1
     return (
-        df.join(sizes, key)
-        .withColumn("chunk", F.pmod(F.xxhash64(item), n_chunks))
+        ranged.join(offsets, [key, "part"])
+        .withColumn("chunk", F.floor(place / chunk_size).cast("bigint"))
         .groupBy(key, "n_items", "chunk")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )

@@ -17,6 +17,10 @@ from .views import table, with_views
 
 YEAR = views.REPORT_YEAR
 LINES = views.LINES
+ITEM_SUPPORT = 600  # baskets
+SHARED_ITEMS = 4
+CHUNK = 3  # entries of a list, small enough for lists of several chunks
+COMMON_PAIR = 130  # of 10,000 baskets
 
 # ---------------------------------------------------------------- sources
 
@@ -201,11 +205,10 @@ def _(spark, sf_dir):
     "flt2_min_support",
     with_views("supplier_baskets")
     + f""" SELECT item, count(*) AS cnt FROM supplier_baskets GROUP BY item
-    HAVING count(*) >= {views.sql_by_customers(500, 600, 600)}""",
+    HAVING count(*) >= {ITEM_SUPPORT}""",
 )
 def _(spark, sf_dir):
-    support = views.by_customers(spark, sf_dir, 500, 600, 600)
-    return reports.group_counts(views.supplier_baskets(spark, sf_dir), "item").where(F.col("cnt") >= support)
+    return reports.group_counts(views.supplier_baskets(spark, sf_dir), "item").where(F.col("cnt") >= ITEM_SUPPORT)
 
 
 @query(
@@ -314,11 +317,11 @@ def _(spark, sf_dir):
     with_views("pairs")
     + f""" SELECT a.user_id AS id1, b.user_id AS id2, count(*) AS shared FROM pairs a JOIN pairs b
     ON a.item = b.item AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id
-    HAVING count(*) >= {views.sql_by_customers(12, 4, 3)}""",
+    HAVING count(*) >= {SHARED_ITEMS}""",
 )
 def _(spark, sf_dir):
     rows = views.pairs(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("item").alias("member"))
-    return overlap.overlap_pairs(rows, views.by_customers(spark, sf_dir, 12, 4, 3))
+    return overlap.overlap_pairs(rows, SHARED_ITEMS)
 
 
 def toy_predictions(spark, sf_dir):
@@ -388,14 +391,14 @@ def _(spark, sf_dir):
     + """, wanted AS (SELECT a.item AS x, b.item AS y FROM brand_baskets a JOIN brand_baskets b
               ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY a.item, b.item
               HAVING count(*) >= """
-    + views.sql_by_customers(20, 200, 1800)
+    + views.sql_basket_support(COMMON_PAIR)
     + """)
     SELECT a.basket_id, a.item || '|' || b.item AS itemset FROM brand_baskets a
     JOIN brand_baskets b ON a.basket_id = b.basket_id AND a.item < b.item
     JOIN wanted w ON w.x = a.item AND w.y = b.item""",
 )
 def _(spark, sf_dir):
-    support = views.by_customers(spark, sf_dir, 20, 200, 1800)
+    support = views.basket_support(spark, sf_dir, COMMON_PAIR)
     rows = views.brand_baskets(spark, sf_dir)
     wanted = itemsets.apriori(rows, support).where(F.col("size") == 2).select(F.lit(0).alias("bucket"), "itemset")
     tagged = rows.select(F.lit(0).alias("bucket"), "basket_id", "item")
@@ -511,22 +514,26 @@ def _(spark, sf_dir):
 @query(
     "agg9_collect_set",
     with_views("supplier_baskets")
-    + """ SELECT basket_id, count(*) AS n_items, CAST(0 AS BIGINT) AS chunk,
-    string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items FROM supplier_baskets GROUP BY basket_id""",
+    + f""" SELECT basket_id, n_items, chunk, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items
+    FROM (SELECT basket_id, item, count(*) OVER (PARTITION BY basket_id) AS n_items,
+          (row_number() OVER (PARTITION BY basket_id ORDER BY item) - 1) // {CHUNK} AS chunk FROM supplier_baskets)
+    GROUP BY basket_id, n_items, chunk""",
 )
 def _(spark, sf_dir):
-    sets = relational.chunked_sets(views.supplier_baskets(spark, sf_dir), "basket_id", "item")
+    sets = relational.chunked_sets(views.supplier_baskets(spark, sf_dir), "basket_id", "item", CHUNK)
     return sets.withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>")))
 
 
 @query(
     "agg10_collect_list",
-    f"""SELECT l_orderkey, count(*) AS n_items, CAST(0 AS BIGINT) AS chunk,
-    string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS items FROM lineitem GROUP BY l_orderkey""",
+    f"""SELECT l_orderkey, n_items, chunk, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS items
+    FROM (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS n_items,
+          (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1) // {CHUNK} AS chunk FROM lineitem)
+    GROUP BY l_orderkey, n_items, chunk""",
 )
 def _(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    lists = relational.chunked_sets(lines, "l_orderkey", "l_partkey")
+    lists = relational.chunked_sets(lines, "l_orderkey", "l_partkey", CHUNK)
     return lists.withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>")))
 
 
@@ -804,6 +811,16 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "fn8_linear_hash_wide",
+    """SELECT o_orderkey, CAST((CAST(o_orderkey * 1000003 AS HUGEINT) * 3990000011 + 3999999999) % 4000000007 AS BIGINT) AS h
+    FROM orders""",
+)
+def _(spark, sf_dir):
+    wide = hashing.linear_hash(F.col("o_orderkey") * 1000003, 3990000011, 3999999999, 4000000007)
+    return table(spark, sf_dir, "orders").select("o_orderkey", wide.alias("h"))
+
+
 @query(
     "fn9_clamp",
     "SELECT l_orderkey, l_linenumber, least(greatest(l_quantity / 8, 1.0), 5.0) AS x FROM lineitem",
@@ -884,13 +901,13 @@ def _(spark, sf_dir):
     with_views("brand_baskets")
     + """, level AS (SELECT a.item AS x, b.item AS y FROM brand_baskets a JOIN brand_baskets b
               ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= """
-    + views.sql_by_customers(18, 200, 1800)
+    + views.sql_basket_support(COMMON_PAIR)
     + """)
     SELECT a.x || '|' || a.y || '|' || b.y AS itemset FROM level a JOIN level b ON a.x = b.x AND a.y < b.y
     JOIN level c ON c.x = a.y AND c.y = b.y""",
 )
 def _(spark, sf_dir):
-    support = views.by_customers(spark, sf_dir, 18, 200, 1800)
+    support = views.basket_support(spark, sf_dir, COMMON_PAIR)
     found = itemsets.apriori(views.brand_baskets(spark, sf_dir), support)
     level = found.where(F.col("size") == 2).select(F.lit(0).alias("bucket"), "itemset")
     return itemsets.candidates_from(level, 3).select(F.concat_ws("|", "itemset").alias("itemset"))

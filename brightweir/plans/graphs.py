@@ -11,21 +11,19 @@ from . import views
 from .registry import query
 from .views import with_views
 
-# smallest number of shared items, by number of customers
-THRESHOLDS = (18, 7, 4)
-SPLIT_THRESHOLDS = (20, 8, 4)
+THRESHOLD = 7  # smallest number of shared items
+CHUNK = 4  # members of a row, small enough for communities of several rows
 
 
-def edges(spark, sf_dir, thresholds=THRESHOLDS):
-    threshold = views.by_customers(spark, sf_dir, *thresholds)
-    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), threshold)
+def edges(spark, sf_dir):
+    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), THRESHOLD)
 
 
-def sql_edges(thresholds=THRESHOLDS, recursive: bool = False) -> str:
+def sql_edges(recursive: bool = False) -> str:
     return with_views("pairs", recursive=recursive) + f""", edges AS (
         SELECT a.user_id AS src, b.user_id AS dst, count(*) AS shared FROM pairs a JOIN pairs b
         ON a.item = b.item AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id
-        HAVING count(*) >= {views.sql_by_customers(*thresholds)})"""
+        HAVING count(*) >= {THRESHOLD})"""
 
 
 EDGES_SQL = sql_edges()
@@ -88,11 +86,13 @@ def _(spark, sf_dir):
 @query(
     "grf3_communities",
     LABELS_SQL
-    + """ SELECT min(id) AS community, count(*) AS size, CAST(0 AS BIGINT) AS chunk,
-    string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM labels GROUP BY label""",
+    + f""" SELECT community, size, chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members
+    FROM (SELECT id, min(id) OVER (PARTITION BY label) AS community, count(*) OVER (PARTITION BY label) AS size,
+          (row_number() OVER (PARTITION BY label ORDER BY id) - 1) // {CHUNK} AS chunk FROM labels)
+    GROUP BY community, size, chunk""",
 )
 def _(spark, sf_dir):
-    found = graph.communities(graph.label_propagation(edges(spark, sf_dir)))
+    found = graph.communities(graph.label_propagation(edges(spark, sf_dir)), CHUNK)
     return found.withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
 
 
@@ -161,16 +161,25 @@ def _(spark, sf_dir):
     )
 
 
+SPLITS: dict[tuple[str, str], tuple] = {}
+
+
+def split(spark, sf_dir):
+    """Labels and trace of one run, which the queries of both share within a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in SPLITS:
+        SPLITS[key] = tuple(cut(df) for df in graph.girvan_newman(edges(spark, sf_dir)))
+    return SPLITS[key]
+
+
 @query("grf9_girvan_newman")
 def _(spark, sf_dir):
-    labels, _ = graph.girvan_newman(edges(spark, sf_dir, SPLIT_THRESHOLDS))
-    return graph.community_members(labels)
+    return graph.community_members(split(spark, sf_dir)[0])
 
 
 @query("grf9_girvan_newman_trace")
 def _(spark, sf_dir):
-    _, trace = graph.girvan_newman(edges(spark, sf_dir, SPLIT_THRESHOLDS))
-    return trace
+    return split(spark, sf_dir)[1]
 
 
 @query(
@@ -214,3 +223,15 @@ def _(spark, sf_dir):
     scores = edges(spark, sf_dir).select("src", "dst", (F.col("shared") / 3).alias("betweenness"))
     writers.write_edge_report(scores, path)
     return spark.read.text(path)
+
+
+@query(
+    "snk5_betweenness_report",
+    BETWEENNESS_SQL
+    + """ SELECT '(''' || src || ''', ''' || dst || '''),' || CAST(round(betweenness, 5) AS VARCHAR) AS value
+    FROM betweenness""",
+)
+def _(spark, sf_dir):
+    path = new_dir(spark, "betweenness-report")
+    writers.write_edge_report(cut(graph.edge_betweenness(cut(edges(spark, sf_dir)))), path)
+    return spark.read.text(path)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import itemsets, model, recommend, reports, similarity
+from ..operators import itemsets, model, overlap, recommend, reports, similarity
 from ..runtime import cut, new_dir
 from ..sinks import writers
+from ..sources.readers import read_transactions
 from . import views
 from .basics import (
     BUCKET_SQL,
@@ -40,9 +41,9 @@ def _(spark, sf_dir):
     BUCKET_SQL.replace("SELECT CAST(b AS INTEGER)", "SELECT 'customized' AS layout, CAST(b AS INTEGER)"),
 )
 def _(spark, sf_dir):
-    # the default layout is Spark's own; SQL can check the hashed one
-    profile = reports.partition_profile(views.reviews(spark, sf_dir), "business_id", 16, portable=True)
-    return profile.where(F.col("layout") == "customized")
+    return reports.hash_bucket_profile(views.reviews(spark, sf_dir), "business_id", 16).select(
+        F.lit("customized").alias("layout"), "bucket", "n_items"
+    )
 
 
 @query("rep3_partition_summary")
@@ -54,8 +55,8 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- itemsets
 
-SUPPORT = (8, 50, 400)
-PAIR_SUPPORT = (60, 30, 10)
+SUPPORT = 30  # of 10,000 baskets
+PAIR_SUPPORT = 30  # baskets
 N_BUCKETS = 4
 
 
@@ -74,7 +75,7 @@ def subsets_sql(view: str, extra: str = "", keep: str = "") -> str:
 FREQUENT_SQL = (
     subsets_sql("brand_baskets")
     + f""" SELECT itemset, size, count(*) AS cnt FROM subs GROUP BY itemset, size
-    HAVING count(*) >= {views.sql_by_customers(*SUPPORT)}"""
+    HAVING count(*) >= {views.sql_basket_support(SUPPORT)}"""
 )
 
 LOCAL_SQL = subsets_sql(
@@ -83,7 +84,7 @@ LOCAL_SQL = subsets_sql(
             ('0x' || substr(md5(CAST(basket_id AS VARCHAR)), 1, 8))::BIGINT % {N_BUCKETS} AS bucket
             FROM brand_baskets),
     share AS (SELECT bucket, count(*) / (SELECT count(*) FROM where_is)
-              * {views.sql_by_customers(*SUPPORT)} AS lim FROM where_is GROUP BY bucket),
+              * {views.sql_basket_support(SUPPORT)} AS lim FROM where_is GROUP BY bucket),
     local AS (SELECT bucket, itemset, size, count(*) AS cnt FROM subs JOIN where_is USING (basket_id)
               GROUP BY bucket, itemset, size),
     candidates AS (SELECT DISTINCT itemset, size FROM local JOIN share USING (bucket) WHERE cnt >= lim)""",
@@ -95,7 +96,7 @@ def flat(found):
 
 
 def brand_job(spark, sf_dir):
-    return views.brand_baskets(spark, sf_dir), views.by_customers(spark, sf_dir, *SUPPORT)
+    return views.brand_baskets(spark, sf_dir), views.basket_support(spark, sf_dir, SUPPORT)
 
 
 @query(
@@ -124,11 +125,10 @@ def _(spark, sf_dir):
     "fim2_apriori_many_items",
     subsets_sql("supplier_baskets")
     + f""" SELECT itemset, size, count(*) AS cnt FROM subs GROUP BY itemset, size
-    HAVING count(*) >= {views.sql_by_customers(*PAIR_SUPPORT)}""",
+    HAVING count(*) >= {PAIR_SUPPORT}""",
 )
 def _(spark, sf_dir):
-    support = views.by_customers(spark, sf_dir, *PAIR_SUPPORT)
-    return flat(itemsets.apriori(views.supplier_baskets(spark, sf_dir), support))
+    return flat(itemsets.apriori(views.supplier_baskets(spark, sf_dir), PAIR_SUPPORT))
 
 
 @query("fim3_local_candidates", LOCAL_SQL + " SELECT itemset, size FROM candidates")
@@ -161,7 +161,7 @@ def _(spark, sf_dir):
     "snk3_itemset_report",
     subsets_sql("brand_baskets")
     + f""", found AS (SELECT itemset, size FROM subs GROUP BY itemset, size
-                 HAVING count(*) >= {views.sql_by_customers(*SUPPORT)}),
+                 HAVING count(*) >= {views.sql_basket_support(SUPPORT)}),
     pieces AS (SELECT size, '(''' || replace(itemset, '|', ''', ''') || '''' AS label,
         row_number() OVER (PARTITION BY size ORDER BY string_split(itemset, '|')) = 1 AS opens FROM found)
     SELECT CASE WHEN NOT opens THEN ',' WHEN size > 1 THEN chr(10) || chr(10)
@@ -177,6 +177,42 @@ def _(spark, sf_dir):
     return spark.read.option("lineSep", ")").text(path)
 
 
+JOB_SUPPORT = 24  # baskets
+
+
+@query(
+    "job_transactions",
+    subsets_sql(
+        "transaction_baskets",
+        f""", where_is AS (SELECT DISTINCT basket_id,
+            ('0x' || substr(md5(basket_id), 1, 8))::BIGINT % {N_BUCKETS} AS bucket FROM transaction_baskets),
+    share AS (SELECT bucket, count(*) / (SELECT count(*) FROM where_is) * {JOB_SUPPORT} AS lim
+              FROM where_is GROUP BY bucket),
+    local AS (SELECT bucket, itemset, size, count(*) AS cnt FROM subs JOIN where_is USING (basket_id)
+              GROUP BY bucket, itemset, size),
+    listed AS (SELECT DISTINCT 1 AS section, itemset, size FROM local JOIN share USING (bucket) WHERE cnt >= lim
+               UNION ALL SELECT 2, itemset, size FROM subs GROUP BY itemset, size HAVING count(*) >= {JOB_SUPPORT}),
+    pieces AS (SELECT section, size, '(''' || replace(itemset, '|', ''', ''') || '''' AS label,
+               min(size) OVER (PARTITION BY section) AS least, row_number() OVER (PARTITION BY section, size ORDER BY
+               list_transform(string_split(itemset, '|'), lambda x: CAST(x AS BIGINT))) = 1 AS opens FROM listed)
+    SELECT CASE WHEN NOT opens THEN ',' WHEN size > least THEN chr(10) || chr(10)
+                WHEN section = 1 THEN 'Candidates:' || chr(10)
+                ELSE chr(10) || chr(10) || 'Frequent Itemsets:' || chr(10) END || label AS value
+    FROM pieces""",
+    ),
+)
+def _(spark, sf_dir):
+    """From transaction lines to the report: read, keep the cleaned table, drop small baskets, search twice, write."""
+    raw, clean, report = (new_dir(spark, f"job-{name}") for name in ("lines", "table", "report"))
+    views.transactions(spark, sf_dir).write.text(raw)
+    rows = writers.write_table(read_transactions(spark, raw).distinct(), clean)
+    kept = cut(itemsets.baskets(rows, 1, min_size=views.LEAST_ITEMS))
+    candidates = cut(itemsets.son_candidates(kept, JOB_SUPPORT, N_BUCKETS))
+    frequent = cut(itemsets.son_frequent(kept, candidates, JOB_SUPPORT))
+    writers.write_itemset_report(candidates, frequent, report)
+    return spark.read.option("lineSep", ")").text(report)
+
+
 # ---------------------------------------------------------------- similarity
 
 COEFFICIENTS_SQL = """, size AS MATERIALIZED (
@@ -259,8 +295,7 @@ def _(spark, sf_dir):
     ALL_PAIRS_SQL.replace(">= 0.5", ">= 0.8"),
 )
 def _(spark, sf_dir):
-    found = similarity.jaccard_all(views.word_sets(spark, sf_dir))
-    return rounded(found.where(F.col("similarity") >= 0.8))
+    return rounded(similarity.jaccard_all(views.word_sets(spark, sf_dir), min_sim=0.8))
 
 
 @query("srt3_sorted_pairs", ALL_PAIRS_SQL + " ORDER BY id1, id2, similarity")
@@ -273,24 +308,17 @@ def _(spark, sf_dir):
     """WITH w AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS w FROM benchmark)
     SELECT a.item_id AS id1, b.item_id AS id2, len(list_intersect(a.w, b.w)) AS shared,
            len(list_distinct(a.w || b.w)) AS total
-    FROM w a JOIN w b ON b.item_id = a.item_id + 1""",
+    FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0""",
 )
 def _(spark, sf_dir):
+    """Every two benchmark items that share a word."""
     words = views.table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("set_id"), F.explode(F.array_distinct(F.split("text", " "))).alias("member")
-    )
-    neighbours = words.select(F.col("set_id").alias("id1"), (F.col("set_id") + 1).alias("id2")).distinct()
-    ids = words.select(F.col("set_id").alias("id2")).distinct()
-    counted = similarity.jaccard_verify(neighbours.join(ids, "id2", "left_semi"), words, min_sim=0.0)
-    both = neighbours.join(ids, "id2", "left_semi").join(
-        counted.select("id1", "id2", "shared"), ["id1", "id2"], "left"
+        F.col("item_id").alias("id"), F.explode(F.array_distinct(F.split("text", " "))).alias("member")
     )
-    sizes = words.groupBy("set_id").agg(F.count("*").alias("n"))
-    n1 = sizes.select(F.col("set_id").alias("id1"), F.col("n").alias("n1"))
-    n2 = sizes.select(F.col("set_id").alias("id2"), F.col("n").alias("n2"))
-    shared = F.coalesce("shared", F.lit(0).cast("bigint"))
-    return both.join(n1, "id1").join(n2, "id2").select(
-        "id1", "id2", shared.alias("shared"), (F.col("n1") + F.col("n2") - shared).alias("total")
+    sizes = words.groupBy("id").agg(F.count("*").alias("n"))
+    n1, n2 = sizes.toDF("id1", "n1"), sizes.toDF("id2", "n2")
+    return overlap.overlap_pairs(words, 1).join(n1, "id1").join(n2, "id2").select(
+        "id1", "id2", "shared", (F.col("n1") + F.col("n2") - F.col("shared")).alias("total")
     )
 
 
@@ -395,9 +423,6 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-# fewer rounds than the operators' default of 100, to keep a check run short
-ROUNDS = 10
-
 
 @query(
     "mdl1_feature_table",
@@ -428,7 +453,6 @@ def _(spark, sf_dir):
         views.test_rows(spark, sf_dir),
         views.user_profiles(spark, sf_dir),
         views.business_profiles(spark, sf_dir),
-        rounds=ROUNDS,
     )
 
 
@@ -439,7 +463,6 @@ def _(spark, sf_dir):
         views.test_rows(spark, sf_dir),
         views.user_profiles(spark, sf_dir),
         views.business_profiles(spark, sf_dir),
-        rounds=ROUNDS,
     )
 
 

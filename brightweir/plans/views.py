@@ -38,10 +38,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def business(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") >= 3000)
+    """All suppliers; those in debt go by another key, so their reviews find no business."""
+    suppliers = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
     return suppliers.join(nations, suppliers["s_nationkey"] == nations["n_nationkey"]).select(
-        F.col("s_suppkey").cast("string").alias("business_id"), F.col("n_name").alias("city")
+        F.concat(F.when(F.col("s_acctbal") < 0, "closed-").otherwise(""), F.col("s_suppkey").cast("string")).alias("business_id"),
+        F.col("n_name").alias("city"),
     )
 
 
@@ -166,17 +168,17 @@ def id_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def by_customers(spark: SparkSession, sf_dir: str, small: int, medium: int, large: int) -> int:
-    """A parameter that depends on the number of customers; ``sql_by_customers`` is its twin."""
-    n = table(spark, sf_dir, "customer").count()
-    return small if n < 500 else medium if n < 5000 else large
+def basket_support(spark: SparkSession, sf_dir: str, of_10000: int) -> int:
+    """A fixed share of the baskets, rounded up; ``sql_basket_support`` is its twin."""
+    n = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().count()
+    return max(1, -(-n * of_10000 // 10000))
 
 
-def sql_by_customers(small: int, medium: int, large: int) -> str:
-    n = "(SELECT count(*) FROM customer)"
-    return f"(CASE WHEN {n} < 500 THEN {small} WHEN {n} < 5000 THEN {medium} ELSE {large} END)"
+def sql_basket_support(of_10000: int) -> str:
+    return f"(SELECT greatest(1, (count(DISTINCT l_orderkey) * {of_10000} + 9999) // 10000) FROM lineitem)"
 
 
+LEAST_ITEMS = 3  # baskets of the transaction job have more items
 LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 CTES = {
@@ -185,8 +187,9 @@ CTES = {
                ceil(l_quantity / 10) AS stars, strftime(o_orderdate, '%Y-%m-%d') AS date
         FROM {LINES})""",
     "business": """business AS (
-        SELECT CAST(s_suppkey AS VARCHAR) AS business_id, n_name AS city
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 3000)""",
+        SELECT CASE WHEN s_acctbal < 0 THEN 'closed-' ELSE '' END || CAST(s_suppkey AS VARCHAR) AS business_id,
+               n_name AS city
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
     "dated": f"""dated AS (
         SELECT o_custkey AS user_id, l_partkey AS item_id, ceil(l_quantity / 10) AS stars,
                strftime(o_orderdate, '%Y-%m-%d') AS day FROM {LINES})""",
@@ -204,6 +207,12 @@ CTES = {
     "brand_baskets": """brand_baskets AS (
         SELECT DISTINCT l_orderkey AS basket_id, p_brand AS item
         FROM lineitem JOIN part ON l_partkey = p_partkey)""",
+    "transaction_baskets": f"""transaction_baskets AS (
+        SELECT basket_id, item FROM (
+            SELECT DISTINCT month(o_orderdate) || '/' || day(o_orderdate) || '/'
+                   || right(CAST(year(o_orderdate) AS VARCHAR), 2) || '-' || o_custkey AS basket_id, l_partkey AS item
+            FROM {LINES})
+        QUALIFY count(*) OVER (PARTITION BY basket_id) > {LEAST_ITEMS})""",
     "supplier_baskets": """supplier_baskets AS (
         SELECT DISTINCT l_orderkey AS basket_id, l_suppkey AS item FROM lineitem)""",
     "user_profiles": """user_profiles AS (

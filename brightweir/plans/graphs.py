@@ -8,7 +8,7 @@ from ..operators import graph
 from ..runtime import cut, new_dir
 from ..sinks import writers
 from . import views
-from .registry import query
+from .registry import once, query
 from .views import with_views
 
 THRESHOLD = 7  # smallest number of shared items
@@ -161,15 +161,10 @@ def _(spark, sf_dir):
     )
 
 
-SPLITS: dict[tuple[str, str], tuple] = {}
-
-
 def split(spark, sf_dir):
-    """Labels and trace of one run, which the queries of both share within a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in SPLITS:
-        SPLITS[key] = tuple(cut(df) for df in graph.girvan_newman(edges(spark, sf_dir)))
-    return SPLITS[key]
+    """Labels and trace of one run, which the queries of both share."""
+    run = lambda: tuple(cut(df) for df in graph.girvan_newman(edges(spark, sf_dir)))
+    return once(spark, "girvan-newman", sf_dir, run)
 
 
 @query("grf9_girvan_newman")

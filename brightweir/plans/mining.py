@@ -19,7 +19,7 @@ from .basics import (
     YEAR,
     flat_report,
 )
-from .registry import query
+from .registry import once, query
 from .views import with_views
 
 # ---------------------------------------------------------------- reports
@@ -446,23 +446,64 @@ def _(spark, sf_dir):
     return values.select("user_id", "item_id", "label", *columns)
 
 
+def trees(spark, sf_dir):
+    """Predictions of one fit for the rated and the later pairs, which the queries below share."""
+
+    def fit():
+        train, later = views.train(spark, sf_dir), views.test_rows(spark, sf_dir)
+        pairs = train.select("user_id", "item_id").union(later.select("user_id", "item_id")).distinct()
+        return cut(model.gbt_predict(train, pairs, views.user_profiles(spark, sf_dir), views.business_profiles(spark, sf_dir)))
+
+    return once(spark, "trees", sf_dir, fit)
+
+
+def mixed(spark, sf_dir):
+    """The hybrid predictions of one fit, which the queries below share."""
+    profiles = views.user_profiles(spark, sf_dir), views.business_profiles(spark, sf_dir)
+    fit = lambda: cut(model.hybrid_predict(views.train(spark, sf_dir), views.test_rows(spark, sf_dir), *profiles))
+    return once(spark, "mixed", sf_dir, fit)
+
+
 @query("mdl2_boosted_trees")
 def _(spark, sf_dir):
-    return model.gbt_predict(
-        views.train(spark, sf_dir),
-        views.test_rows(spark, sf_dir),
-        views.user_profiles(spark, sf_dir),
-        views.business_profiles(spark, sf_dir),
+    return views.test_rows(spark, sf_dir).join(trees(spark, sf_dir), ["user_id", "item_id"])
+
+
+@query(
+    "mdl2_bounds",
+    with_views("train", "test") + " SELECT count(*) AS n_rows, TRUE AS in_range, TRUE AS beats_mean FROM test",
+)
+def _(spark, sf_dir):
+    """Every later pair has a prediction near the range of the ratings; on the rated pairs it beats their mean."""
+    train, found = views.train(spark, sf_dir), trees(spark, sf_dir)
+    limits = train.agg(F.min("stars").alias("low"), F.max("stars").alias("high"), F.avg("stars").alias("mean")).first()
+    later = views.test_rows(spark, sf_dir).join(found, ["user_id", "item_id"]).agg(
+        F.count("prediction").alias("n_rows"),
+        F.coalesce(F.every(F.col("prediction").between(limits["low"] - 1, limits["high"] + 1)), F.lit(True)).alias("in_range"),
     )
+    square = lambda x: F.avg((x - F.col("stars")) ** 2)
+    errors = train.join(found, ["user_id", "item_id"]).agg((square(F.col("prediction")) < square(F.lit(limits["mean"]))).alias("beats_mean"))
+    return later.select("n_rows", "in_range", errors.select("beats_mean").scalar().alias("beats_mean"))
 
 
 @query("mdl3_hybrid")
 def _(spark, sf_dir):
-    return model.hybrid_predict(
-        views.train(spark, sf_dir),
-        views.test_rows(spark, sf_dir),
-        views.user_profiles(spark, sf_dir),
-        views.business_profiles(spark, sf_dir),
+    return mixed(spark, sf_dir)
+
+
+@query("mdl3_mix", with_views("test") + " SELECT count(*) AS n_rows, TRUE AS is_mix FROM test")
+def _(spark, sf_dir):
+    """Each prediction lies where the weight puts it: between the neighbours' and a star rating of the model."""
+    train = views.train(spark, sf_dir)
+    items = model.item_features(views.business_profiles(spark, sf_dir), train)
+    parts = model.hybrid_alpha(cf(spark, sf_dir, n=10), train, items).select(
+        "user_id", "item_id", F.col("prediction").alias("near"), F.col("alpha").alias("weight")
+    )
+    share = F.col("prediction") - F.col("weight") * F.col("near")
+    rest = 1 - F.col("weight")
+    fits = (F.abs(F.col("alpha") - F.col("weight")) < 1e-9) & share.between(rest - 1e-6, 5 * rest + 1e-6)
+    return mixed(spark, sf_dir).join(parts.distinct(), ["user_id", "item_id"]).agg(
+        F.count("*").alias("n_rows"), F.every(fits).alias("is_mix")
     )
 
 

@@ -22,3 +22,14 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
         return run
 
     return register
+
+
+SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once for a session and its tables: several queries look at one run."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in SHARED:
+        SHARED[key] = make()
+    return SHARED[key]

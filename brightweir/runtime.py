@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """Session for tests and the bench; a cluster job brings its own."""
+    """Session for tests and the bench, with a work folder of its own; a cluster job brings both.
+
+    Checkpoints that nothing refers to any more are removed.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("brightweir")
@@ -18,6 +21,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="brightweir-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

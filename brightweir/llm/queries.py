@@ -53,12 +53,12 @@ def _(spark, sf_dir):
     return lm.score(docs.withColumn("held_out", fold() == 1))
 
 
-@query("op10_exact_top_k")
+@query("op10_exact_top_k", topk.CHECK)
 def _(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op7_warc")
+@query("op7_warc", warc.CHECK)
 def _(spark, sf_dir):
     path = new_dir(spark, "pages-warc")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages"), least_bytes=0), path)

@@ -451,3 +451,17 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool
 
 def page_id_of(urn: str) -> Column:
     return F.nullif(F.regexp_extract(urn, r"^urn:page:(-?\d*)$", 1), F.lit("")).cast("bigint")
+
+
+#: Five hex digits of the digest are 20 bits, four letters of the base-32 alphabet.
+CHECK = """
+WITH hashed AS (
+    SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first
+    FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""

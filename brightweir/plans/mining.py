@@ -407,13 +407,14 @@ def _(spark, sf_dir):
     WHERE user_id NOT IN (SELECT user_id FROM dd) OR item_id NOT IN (SELECT item_id FROM dd)""",
 )
 def _(spark, sf_dir):
-    train = views.train(spark, sf_dir)
-    predictions = cf(spark, sf_dir)
-    warm = predictions.join(train.select("user_id").distinct(), "user_id", "left_semi").join(
+    """Only the rows with an unknown user or item are predicted."""
+    train, rows = views.train(spark, sf_dir), views.test_rows(spark, sf_dir)
+    warm = rows.join(train.select("user_id").distinct(), "user_id", "left_semi").join(
         train.select("item_id").distinct(), "item_id", "left_semi"
     )
-    cold = predictions.join(warm.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return cold.select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
+    cold = cut(rows.join(warm, ["user_id", "item_id"], "left_anti").select("user_id", "item_id"))
+    predictions = recommend.cf_predict(train, cold, 50)
+    return predictions.select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("cf4_midpoint_variant", predict_sql(50, midpoint=True) + CF_OUT)

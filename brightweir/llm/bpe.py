@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship
+from .common import held, ship
 
 NONE = np.int32(2**31 - 1)
 CHUNK_CHARS = 1 << 20  # text handled at once in a worker
@@ -219,16 +219,10 @@ class Encoder(dict):
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-LOADED: dict[bytes, Encoder] = {}
-
-
 def loaded(ranks: bytes, pattern: str) -> Encoder:
     """The encoder of a rank file, kept for the next tasks of this worker."""
-    name = hashlib.sha256(ranks + pattern.encode()).digest()
-    if name not in LOADED:
-        LOADED.clear()
-        LOADED[name] = Encoder(Vocabulary(ranks, pattern))
-    return LOADED[name]
+    name = "bpe", hashlib.sha256(ranks + pattern.encode()).digest()
+    return held(name, lambda: Encoder(Vocabulary(ranks, pattern)))
 
 
 def read_ranks(path: str) -> bytes:
@@ -266,6 +260,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             for texts in groups_of([t or "" for t in batch.column(1).to_pylist()]):
                 out += [ids.astype("<u4").tobytes() for ids in encoder.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+        encoder.forget()  # an idle worker holds the vocabulary only
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary")

@@ -56,6 +56,17 @@ def ship(spark: SparkSession) -> None:
     context._shipped_package = True
 
 
+HELD: dict = {}
+
+
+def held(name: object, make):
+    """What ``make`` gives, kept in this Python worker for its next tasks until another thing is asked for."""
+    if name not in HELD:
+        HELD.clear()
+        HELD[name] = make()
+    return HELD[name]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

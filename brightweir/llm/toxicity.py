@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, saved, ship, text_or_empty
+from .common import fold, held, saved, ship, text_or_empty
 
 #: Labelled documents that the model learns from, at most; half for the lexicon, half for the weights.
 TRAIN_ROWS = 12_000
@@ -41,7 +41,7 @@ REPORTING = frozenset(
 ADDRESS = frozenset("you your yours you're ur du dich dein tu toi vous votre eres usted tú".split())
 OPENING, CLOSING = "“„«‹", "”»›"
 FEATURES = ("any_hit", "open_hits", "open_weight", "top", "second", "terms", "density", "quoted", "address")
-CACHE_WORDS, CACHE_STATES = 500_000, 100_000
+CACHE_WORDS, CACHE_STEPS = 150_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,9 @@ class LexiconAutomaton:
         """Index and weight of the best term within reach of a lower-case word."""
         if word in self.words:
             return self.words[word]
-        if len(self.words) > CACHE_WORDS or len(self.states) > CACHE_STATES:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.next) > CACHE_STEPS:
             self.forget()
         state = self.start
         for letter in word:
@@ -217,16 +219,9 @@ class Model:
     intercept: float = -20.0
 
 
-AUTOMATA: dict[tuple[Term, ...], LexiconAutomaton] = {}
-
-
 def automaton_of(terms: list[Term]) -> LexiconAutomaton:
     """The automaton of a lexicon, kept for the next tasks of this worker."""
-    key = tuple(terms)
-    if key not in AUTOMATA:
-        AUTOMATA.clear()
-        AUTOMATA[key] = LexiconAutomaton(terms)
-    return AUTOMATA[key]
+    return held(("toxicity", tuple(terms)), lambda: LexiconAutomaton(terms))
 
 
 def document_features(docs: DataFrame, terms: list[Term]) -> DataFrame:
@@ -239,6 +234,7 @@ def document_features(docs: DataFrame, terms: list[Term]) -> DataFrame:
             rows = [features(t.as_py() or "", automaton) for t in batch.column(1)]
             columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.float64())] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *FEATURES])
+        automaton.words.clear()  # an idle worker holds the automaton only
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{f} double" for f in FEATURES)]))
@@ -354,5 +350,6 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
                 for t in batch.column(at)
             ]
             yield batch.filter(pa.array([total < 0 for total in totals], pa.bool_()))
+        automaton.words.clear()
 
     return docs.mapInArrow(run, docs.schema)

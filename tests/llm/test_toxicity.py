@@ -44,7 +44,7 @@ def test_automaton_finds_what_edit_distance_finds():
 
 
 def test_caches_start_afresh(monkeypatch):
-    monkeypatch.setattr(toxicity, "CACHE_STATES", 2)
+    monkeypatch.setattr(toxicity, "CACHE_STEPS", 2)
     automaton = toxicity.LexiconAutomaton(TERMS)
     assert [automaton.match(w) is not None for w in ("idiot", "idiott", "nothing", "idot", "idiot")] == [True, True, False, True, True]
 

@@ -31,12 +31,14 @@ def read_json_inferred(spark: SparkSession, path: str, *columns: str) -> DataFra
 
 
 def header_line(spark: SparkSession, path: str) -> str | None:
-    """First line of the first file by name that is not empty; None if all are."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    )
-    first = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("title"))
-    return first.agg(F.min_by("title", "file")).first()[0]
+    """First line of the first file by name that is not empty; None if all are.
+
+    The names and sizes come from the file listing; only the one line is read.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    name = files.agg(F.min("path")).first()[0]
+    first = None if name is None else spark.read.text(name).first()
+    return None if first is None else first[0]
 
 
 def read_header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import held, ship
 
 NONE = np.int32(2**31 - 1)
-CHUNK_CHARS = 1 << 20  # text handled at once in a worker
-CACHE_PIECES = 300_000  # distinct pieces a worker remembers before it starts afresh
+CHUNK_CHARS = 1 << 19  # text handled at once in a worker
+CACHE_PIECES = 200_000  # distinct pieces a worker remembers before it starts afresh
 # Fixed value: the Unicode White_Space characters, which \s means in the pattern.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -242,8 +242,10 @@ def groups_of(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield some
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``, one row for each row of ``docs``; ids are unsigned 32-bit integers, low byte first.
+def encode(
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``(doc_id, ids)``, with ``decoded`` also the bytes that the ids decode to: one row for each row of ``docs``; ids are unsigned 32-bit integers, low byte first.
 
     A null text counts as empty and has no ids. Ids and repeated rows pass through as they are;
     other columns are not looked at; an empty table gives no rows. The rank file is the only
@@ -259,11 +261,16 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             out: list[bytes] = []
             for texts in groups_of([t or "" for t in batch.column(1).to_pylist()]):
                 out += [ids.astype("<u4").tobytes() for ids in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            columns = [batch.column(0), pa.array(out, pa.binary())]
+            if decoded:
+                back = [encoder.vocabulary.decode(np.frombuffer(x, "<u4")) for x in out]
+                columns.append(pa.array(back, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
         encoder.forget()  # an idle worker holds the vocabulary only
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary")
+    more = ", decoded binary" if decoded else ""
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary{more}")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:

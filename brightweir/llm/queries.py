@@ -21,8 +21,7 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 def bpe_digests(docs, tokenizer: str = TOKENIZER):
     """Encode every text, decode the ids, and give digests of both."""
     ranks = bpe.read_ranks(public_tokenizers.path(tokenizer))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

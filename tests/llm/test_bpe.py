@@ -52,3 +52,6 @@ def test_digests_of_all_rows(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe_digests(docs_of(spark, "x").where("false")).count() == 0
+    encoded = bpe.encode(docs_of(spark, *texts), RANKS, public_tokenizers.PATTERN)
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()}
+    assert back == {i: (t or "").encode() for i, t in enumerate(texts)}

@@ -11,19 +11,25 @@ from . import views
 from .registry import once, query
 from .views import with_views
 
-THRESHOLD = 7  # smallest number of shared items
+THRESHOLD = 4  # smallest number of shared items
+#: The same for breadth-first search, betweenness and Girvan-Newman, whose SQL grows with the cube of the vertices.
+PATH_THRESHOLD = 7
 CHUNK = 4  # members of a row, small enough for communities of several rows
 
 
-def edges(spark, sf_dir):
-    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), THRESHOLD)
+def edges(spark, sf_dir, threshold: int = THRESHOLD):
+    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), threshold)
 
 
-def sql_edges(recursive: bool = False) -> str:
+def path_edges(spark, sf_dir):
+    return edges(spark, sf_dir, PATH_THRESHOLD)
+
+
+def sql_edges(recursive: bool = False, threshold: int = THRESHOLD) -> str:
     return with_views("pairs", recursive=recursive) + f""", edges AS (
         SELECT a.user_id AS src, b.user_id AS dst, count(*) AS shared FROM pairs a JOIN pairs b
         ON a.item = b.item AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id
-        HAVING count(*) >= {THRESHOLD})"""
+        HAVING count(*) >= {threshold})"""
 
 
 EDGES_SQL = sql_edges()
@@ -46,7 +52,7 @@ def labels_sql(rounds: int = 5) -> str:
 LABELS_SQL = labels_sql()
 
 PATHS_SQL = (
-    sql_edges(recursive=True)
+    sql_edges(recursive=True, threshold=PATH_THRESHOLD)
     + BOTH
     + """, walks(root, node, level) AS (
         SELECT id, id, 0 FROM verts
@@ -101,7 +107,7 @@ def _(spark, sf_dir):
     PATHS_SQL + " SELECT root, node, level, CAST(sigma AS BIGINT) AS sigma FROM paths",
 )
 def _(spark, sf_dir):
-    return graph.bfs_all(cut(edges(spark, sf_dir))).withColumn("sigma", F.col("sigma").cast("bigint"))
+    return graph.bfs_all(cut(path_edges(spark, sf_dir))).withColumn("sigma", F.col("sigma").cast("bigint"))
 
 
 @query(
@@ -109,7 +115,7 @@ def _(spark, sf_dir):
     BETWEENNESS_SQL + " SELECT src, dst, round(betweenness, 4) AS betweenness FROM betweenness",
 )
 def _(spark, sf_dir):
-    scores = graph.edge_betweenness(cut(edges(spark, sf_dir)))
+    scores = graph.edge_betweenness(cut(path_edges(spark, sf_dir)))
     return scores.select("src", "dst", F.round("betweenness", 4).alias("betweenness"))
 
 
@@ -163,7 +169,7 @@ def _(spark, sf_dir):
 
 def split(spark, sf_dir):
     """Labels and trace of one run, which the queries of both share."""
-    run = lambda: tuple(cut(df) for df in graph.girvan_newman(edges(spark, sf_dir)))
+    run = lambda: tuple(cut(df) for df in graph.girvan_newman(path_edges(spark, sf_dir)))
     return once(spark, "girvan-newman", sf_dir, run)
 
 
@@ -184,7 +190,7 @@ def _(spark, sf_dir):
     round(max(betweenness), 4) AS highest FROM betweenness""",
 )
 def _(spark, sf_dir):
-    return graph.edge_betweenness(cut(edges(spark, sf_dir))).agg(
+    return graph.edge_betweenness(cut(path_edges(spark, sf_dir))).agg(
         F.count("*").alias("edges"),
         F.round(F.sum("betweenness"), 3).alias("total"),
         F.round(F.max("betweenness"), 4).alias("highest"),
@@ -228,5 +234,5 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = new_dir(spark, "betweenness-report")
-    writers.write_edge_report(cut(graph.edge_betweenness(cut(edges(spark, sf_dir)))), path)
+    writers.write_edge_report(cut(graph.edge_betweenness(cut(path_edges(spark, sf_dir)))), path)
     return spark.read.text(path)

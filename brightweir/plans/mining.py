@@ -56,7 +56,7 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- itemsets
 
 SUPPORT = 30  # of 10,000 baskets
-PAIR_SUPPORT = 30  # baskets
+PAIR_SUPPORT = 10  # baskets
 N_BUCKETS = 4
 
 

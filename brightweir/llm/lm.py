@@ -2,9 +2,11 @@
 
 A text is a sequence of words, each followed by one separator; an end closes it. The
 model predicts byte by byte in the longest context it knows, up to ``ORDER`` bytes,
-and escapes to the next shorter one. A context may hold the separator before a word
-but never reaches back over it, so that a word's code length does not depend on its
-neighbours: it is computed once for each distinct word and added up for each document.
+and escapes to the next shorter one. Contexts run on over the separators, back to the one
+that opens the text. A block of documents counts its distinct longest grams only,
+as all shorter ones are their tails; each distinct gram is scored once for all blocks. With ``across`` false a context may hold the
+separator before a word but never reaches back over it; a word's code length then is
+computed once for each distinct word and added up for each document.
 
 Escape estimation is method D: with T occurrences of Q distinct symbols in a context,
 an escape has probability Q/2T and a symbol seen c times (2c-1)/2T. Symbols of the
@@ -13,7 +15,7 @@ excludes from its parent depends on the context alone and is kept in its trie no
 Below the empty context all symbols not yet seen are equally likely.
 
 The trie is a table, one row for each node, and grows with the corpus. No task holds
-all of it: words are scored in blocks, each joined with the nodes that it asks for.
+all of it: texts are scored in blocks, each joined with the nodes that it asks for.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +35,8 @@ SYMBOLS = 251  # bytes that are not white space, and the separator
 BLOCK_BYTES = 32 << 20  # text of the documents whose words meet in one task
 BLOCK_WORDS = 200_000  # distinct words scored in one task
 SLICE_WORDS = 25_000  # distinct words laid out at once
+BLOCK_GRAMS = 500_000  # distinct grams scored in one task
+SLICE_SYMBOLS = 1 << 20  # symbols of running text laid out at once
 SEPARATOR = 32
 
 
@@ -43,21 +48,101 @@ class Numbering(dict):
         return number
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def spoken(words: list[bytes]) -> bytes:
+    """A text from its opening separator to its end: words, each with its separator, and one more."""
+    return b" " + b"".join([w + b" " for w in words]) + b" "
+
+
+def text_keys(flat: np.ndarray, starts: np.ndarray, order: int) -> Iterator[pa.DictionaryArray]:
+    """Longest gram that ends at each symbol, ``SLICE_SYMBOLS`` at once; -1 at opening separators.
+
+    ``flat`` holds texts one after another, which begin at ``starts``.
+    """
+    for a in range(0, len(flat), SLICE_SYMBOLS):
+        b = min(a + SLICE_SYMBOLS, len(flat))
+        first, last = np.searchsorted(starts, (a, b))
+        opened = np.zeros(b - a, np.int64)
+        opened[0] = starts[max(0, np.searchsorted(starts, a, "right") - 1)]
+        opened[starts[first:last] - a] = starts[first:last]
+        whole = np.arange(a, b) - np.maximum.accumulate(opened)
+        depth = np.minimum(whole, order)
+        key = (depth + 1) << 56
+        for back in range(order + 1):
+            at = min(max(a, back), b)
+            moved = flat[max(at - back, 0) : max(b - back, 0)].astype(np.int64) << (8 * back)
+            key[at - a :] |= np.where(depth[at - a :] >= back, moved, 0)
+        key[whole == 0] = -1
+        yield pa.array(key).dictionary_encode()
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+
+
+def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(back, np.concatenate(n), len(found)).astype(np.int64)
+
+
+class Grams:
+    """Distinct longest grams of a block and how often they are in its training texts."""
+
+    def __init__(self, order: int) -> None:
+        self.order, self.keys, self.n, self.size = order, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, texts: list[bytes], training: bool) -> None:
+        if not texts:
+            return
+        for part in text_keys(*laid_out(texts), self.order):
+            found = part.dictionary.to_numpy()
+            n = np.bincount(part.indices.to_numpy(), minlength=len(found)) if training else np.zeros(len(found), np.int64)
+            self.keys.append(found[found >= 0])
+            self.n.append(n[found >= 0])
+            self.size += len(found)
+        if self.size > 4_000_000:
+            keys, n = summed(self.keys, self.n)
+            self.keys, self.n, self.size = [keys], [n], 0
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(self.keys, self.n)
+
+
+def tails(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the grams of ``length`` bytes or more, and the keys of their last ``length`` bytes."""
+    at = np.flatnonzero(keys >> 56 >= length)
+    return at, (keys[at] & ((1 << (8 * length)) - 1)) | (length << 56)
+
+
+def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
     """Rows of two kinds, by block: documents (word numbers) and the block's distinct words (training count).
 
+    With an ``order``, also of the block's distinct longest grams (training count).
+
     ``docs`` has ``(doc_id, text, held_out)``. A-Z is lower-cased; words are divided by
     the six ASCII white-space characters.
     """
     ship(docs.sparkSession)
-    names = ["block", "doc_id", "held_out", "words", "word", "place", "n"]
+    names = ["block", "doc_id", "held_out", "words", "word", "place", "n", "gram"]
     kind = docs.schema["doc_id"].dataType
-    schema = f"block bigint, doc_id {kind.simpleString()}, held_out boolean, words binary, word binary, place int, n bigint"
+    schema = f"block bigint, doc_id {kind.simpleString()}, held_out boolean, words binary, word binary, place int, n bigint, gram bigint"
+    kinds = [pa.int64(), None, pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
         seen, block, size = Numbering(), 0, 0
         counts = np.zeros(0, np.int64)
+        found = Grams(order or 0)
+
+        def only(**columns: pa.Array) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            filled = {"block": pa.array([task + block] * size, pa.int64()), **columns}
+            return pa.RecordBatch.from_arrays([filled.get(c, pa.nulls(size, k or ids.type)) for c, k in zip(names, kinds, strict=True)], names)
+
+        def gram_rows() -> Iterator[pa.RecordBatch]:
+            keys, n = found.rows()
+            for at in range(0, len(keys), 200_000):
+                yield only(gram=pa.array(keys[at : at + 200_000]), n=pa.array(n[at : at + 200_000]))
 
         def add(words: list[np.ndarray]) -> np.ndarray:
             flat = np.concatenate(words) if words else np.zeros(0, np.int32)
@@ -69,21 +154,14 @@ def tokenised(docs: DataFrame) -> DataFrame:
             whole = list(seen)
             for at in range(0, len(whole), 50_000):
                 some = whole[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([task + block] * len(some), pa.int64()),
-                        pa.nulls(len(some), ids.type),
-                        pa.nulls(len(some), pa.bool_()),
-                        pa.nulls(len(some), pa.binary()),
-                        pa.array(some, pa.binary()),
-                        pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                        pa.array(counts[at : at + len(some)]),
-                    ],
-                    names,
-                )
+                places = np.arange(at, at + len(some), dtype=np.int32)
+                yield only(word=pa.array(some, pa.binary()), place=pa.array(places), n=pa.array(counts[at : at + len(some)]))
+            if order is not None:
+                yield from gram_rows()
 
         for batch in batches:
             ids, start, training, out = batch.column(0), 0, [], []
+            said: dict[bool, list[bytes]] = {False: [], True: []}
             texts, held = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, text in enumerate(texts):
                 line = (text or "").encode().lower()
@@ -91,26 +169,21 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 out.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 if not held[i]:
                     training.append(out[-1])
+                if order is not None:
+                    said[bool(held[i])].append(spoken(words))
                 size += len(line)
                 if size >= BLOCK_BYTES or i == len(texts) - 1:
                     n = i + 1 - start
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([task + block] * n, pa.int64()),
-                            ids.slice(start, n),
-                            batch.column(2).slice(start, n),
-                            pa.array([w.tobytes() for w in out], pa.binary()),
-                            pa.nulls(n, pa.binary()),
-                            pa.nulls(n, pa.int32()),
-                            pa.nulls(n, pa.int64()),
-                        ],
-                        names,
-                    )
+                    yield only(doc_id=ids.slice(start, n), held_out=batch.column(2).slice(start, n), words=pa.array([w.tobytes() for w in out], pa.binary()))
+                    for held_out, some in said.items():
+                        found.add(some, not held_out)
+                        some.clear()
                     counts, start, training, out = add(training), i + 1, [], []
                 if size >= BLOCK_BYTES:
                     yield from dictionary()
                     seen, block, size, counts = Numbering(), block + 1, 0, np.zeros(0, np.int64)
-        if seen:
+                    found = Grams(order or 0)
+        if seen or found.size or len(found.keys[0]):
             yield from dictionary()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
@@ -182,10 +255,27 @@ def grams(words: DataFrame, order: int) -> DataFrame:
     return words.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def text_grams(longest: DataFrame, order: int) -> DataFrame:
+    """``(key, n)`` of all grams from the longest ones; ``longest`` has ``(gram, n)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for length in range(1, order + 2):
+                at, some = tails(keys, length)
+                yield counted(some, n[at])
+
+    return longest.where("n > 0").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def trie(words: DataFrame, order: int) -> DataFrame:
+    """The nodes of ``grams``, linked."""
+    return linked(saved(grams(words, order), "ppm-grams"))
+
+
+def linked(nodes: DataFrame) -> DataFrame:
     """``(key, n, t, q, x)``: occurrences of a node, and as a context: its symbols' occurrences,
     their number, and the parent's occurrences of the same symbols, which it excludes on escape."""
-    nodes = saved(grams(words, order), "ppm-grams")
     low, length = "(key & 72057594037927935L)", "shiftright(key, 56)"
     deep = nodes.withColumn("above", F.expr(f"shiftleft({length} - 1, 56) | shiftright({low}, 8)")).withColumn(
         "shorter", F.expr(f"shiftleft({length} - 1, 56) | ({low} & (shiftleft(1L, cast(8 * ({length} - 1) as int)) - 1))")
@@ -219,9 +309,9 @@ def word_blocks(words: DataFrame, order: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "block bigint, word binary, key bigint")
 
 
-def log_probabilities(words: list[bytes], nodes: dict[str, np.ndarray], order: int) -> np.ndarray:
-    """log10 of each word's probability; ``nodes`` holds ``key`` (ascending), ``n``, ``t``, ``q``, ``x``."""
-    out = np.zeros(len(words))
+def code_lengths(count: int, keys_at, nodes: dict[str, np.ndarray], order: int) -> np.ndarray:
+    """log10 probabilities of ``count`` symbols; ``keys_at`` gives, for a length, those with so
+    long a gram in reach and its key; ``nodes`` holds ``key`` (ascending), ``n``, ``t``, ``q``, ``x``."""
     known, n, t, q, x = (nodes[c] for c in ("key", "n", "t", "q", "x"))
 
     def find(keys: np.ndarray) -> np.ndarray:
@@ -231,30 +321,103 @@ def log_probabilities(words: list[bytes], nodes: dict[str, np.ndarray], order: i
         return np.where(known[at] == keys, at, len(known)) if len(known) else np.zeros(len(keys), np.int64)
 
     n, t, q, x = (np.append(a, 0) for a in (n, t, q, x))
+    code, done = np.zeros(count), np.zeros(count, bool)
+    origin = np.full(count, len(known))  # node of the context it escaped from
+    for length in range(order + 1, 0, -1):
+        at, keys = keys_at(length)
+        left = ~done[at]
+        at, keys = at[left], keys[left]
+        body = keys & ((1 << 56) - 1)
+        context = find(np.where(length > 1, (np.int64(length - 1) << 56) | (body >> 8), 0))
+        total, kinds = t[context] - x[origin[at]], q[context] - q[origin[at]]
+        seen = np.where(t[context] > 0, n[find(keys)], 0)
+        whole = 2.0 * total
+        choice = np.where(seen > 0, 2 * seen - 1, kinds)
+        counts = (t[context] > 0) & (whole > 0) & (choice > 0)
+        code[at[counts]] += np.log10(choice[counts] / whole[counts])
+        done[at[seen > 0]] = True
+        origin[at] = np.where(t[context] > 0, context, origin[at])
+    root = find(np.zeros(1, np.int64))
+    code[~done] -= np.log10(max(1, SYMBOLS - q[root][0]))
+    return code
+
+
+def log_probabilities(words: list[bytes], nodes: dict[str, np.ndarray], order: int) -> np.ndarray:
+    """log10 of each word's probability."""
+    out = np.zeros(len(words))
     for start, layout in slices(words):
-        count = len(layout.place)
-        code, done = np.zeros(count), np.zeros(count, bool)
-        origin = np.full(count, len(known))  # node of the context it escaped from
-        for length in range(order + 1, 0, -1):
-            at, keys = layout.keys(length)
-            left = ~done[at]
-            at, keys = at[left], keys[left]
-            body = keys & ((1 << 56) - 1)
-            context = find(np.where(length > 1, (np.int64(length - 1) << 56) | (body >> 8), 0))
-            total, kinds = t[context] - x[origin[at]], q[context] - q[origin[at]]
-            seen = np.where(t[context] > 0, n[find(keys)], 0)
-            whole = 2.0 * total
-            choice = np.where(seen > 0, 2 * seen - 1, kinds)
-            counts = (t[context] > 0) & (whole > 0) & (choice > 0)
-            code[at[counts]] += np.log10(choice[counts] / whole[counts])
-            done[at[seen > 0]] = True
-            origin[at] = np.where(t[context] > 0, context, origin[at])
-        root = find(np.zeros(1, np.int64))
-        code[~done] -= np.log10(max(1, SYMBOLS - q[root][0]))
+        code = code_lengths(len(layout.place), layout.keys, nodes, order)
         out[start : start + len(layout.ends)] = np.bincount(layout.word, code, minlength=len(layout.ends))
     return out
 
 
+def gram_blocks(longest: DataFrame, order: int) -> DataFrame:
+    """Rows of two kinds, by block: ``gram`` to be scored, and ``key`` of the nodes that its block asks for.
+
+    Grams with equal endings meet in one block, so that few blocks ask for the same node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, some, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate(some)
+            wanted = [np.zeros(1, np.int64)]
+            for length in range(1, order + 2):
+                ends = np.unique(tails(keys, length)[1])
+                wanted.append(ends)
+                if length > 1:
+                    wanted.append(np.unique(((ends & ((1 << 56) - 1)) >> 8) | ((length - 1) << 56)))
+            asked = np.unique(np.concatenate(wanted))
+            for column, name in ((keys, "gram"), (asked, "key")):
+                for at in range(0, len(column), 200_000):
+                    part = pa.array(column[at : at + 200_000])
+                    pair = [part, pa.nulls(len(part), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), *(pair if name == "gram" else pair[::-1])], ["block", "gram", "key"])
+
+        for batch in batches:
+            some.append(batch.column(0).to_numpy())
+            size += len(some[-1])
+            if size >= BLOCK_GRAMS:
+                yield from rows()
+                block, some, size = block + 1, [], 0
+        if size:
+            yield from rows()
+
+    ending = F.reverse(F.lpad(F.hex("gram"), 16, "0"))
+    return longest.select("gram").repartitionByRange(ending).mapInArrow(run, "block bigint, gram bigint, key bigint")
+
+
+def gram_scores(longest: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
+    """``(gram, logp)`` of distinct longest grams: the code length of the last byte after the others."""
+    blocks = saved(gram_blocks(longest, order), "ppm-blocks")
+    asked = blocks.where("key is not null").select("block", "key").join(nodes, "key").withColumnRenamed("block", "of_block")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("key")
+        found = {c: right[c].to_numpy() for c in ("key", "n", "t", "q", "x")}
+        keys = left["gram"].to_numpy()
+        return pa.table({"gram": keys, "logp": code_lengths(len(keys), lambda length: tails(keys, length), found, order)})
+
+    return (
+        blocks.where("gram is not null").select("block", "gram").groupBy("block")
+        .cogroup(asked.groupBy("of_block"))
+        .applyInArrow(run, "gram bigint, logp double")
+    )
+
+
+def text_log_probabilities(texts: list[bytes], grams: np.ndarray, logp: np.ndarray, order: int) -> np.ndarray:
+    """log10 of each text's probability; ``grams`` (ascending) holds all their longest grams."""
+    flat, starts = laid_out(texts)
+    code, at = np.zeros(len(flat)), 0
+    for part in text_keys(flat, starts, order):
+        keys = part.dictionary.to_numpy()
+        each = np.where(keys < 0, 0.0, logp[np.minimum(np.searchsorted(grams, keys), len(grams) - 1)])
+        code[at : at + len(part)] = each[part.indices.to_numpy()]
+        at += len(part)
+    return np.add.reduceat(code, starts)
+
+
 def word_scores(words: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
     """``(word, logp)`` of distinct words, each block joined with its nodes."""
     blocks = saved(word_blocks(words, order), "ppm-blocks")
@@ -273,20 +436,21 @@ def word_scores(words: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, across: bool = False) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     ``docs`` has ``(doc_id, text, held_out)``; rows with ``held_out`` false train the
     model, all are scored. ``base_score`` is the smoothed unigram model over words and
     the end, ``score`` the code length of the same sequence under the trie, both log10.
+    ``across`` lets contexts run on over the separators between words.
     Null and empty texts are an end alone; a null ``held_out`` counts as false; repeated
     rows train repeatedly and give repeated results; ids pass through; a word may be as
     long as the text. Without training rows every symbol is equally likely.
     """
     if not 0 <= order <= 6:
         raise ValueError("a key holds contexts of up to six bytes")
-    parts = saved(tokenised(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))), "lm-blocks")
-    rows = parts.where("word is null")
+    parts = saved(tokenised(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False))), order if across else None), "lm-blocks")
+    rows = parts.where("words is not null")
     ends = rows.where("not held_out").count()
     found = parts.where("word is not null")
     words = found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -294,20 +458,46 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     words = saved(words.unionByName(end), "lm-words")
     size = words.agg(F.sum("n").alias("tokens"), F.sum((F.col("n") > 0).cast("bigint")).alias("kinds")).first()
     tokens, kinds = size["tokens"], size["kinds"]
-    scored = word_scores(words, saved(trie(words.where("n > 0"), order), "ppm-trie"), order)
-    known = saved(words.join(scored, "word"), "lm-known")
+    if across:
+        held = parts.where("gram is not null")
+        longest = saved(held.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-longest")
+        nodes = saved(linked(saved(text_grams(longest, order), "ppm-grams")), "ppm-trie")
+        scored = saved(gram_scores(longest, nodes, order), "ppm-scored")
+        placed = held.select(F.col("block").alias("of_block"), "gram").join(scored, "gram")
+        known = words.withColumn("logp", F.lit(0.0))
+    else:
+        scored = word_scores(words, saved(trie(words.where("n > 0"), order), "ppm-trie"), order)
+        known = saved(words.join(scored, "word"), "lm-known")
     last = known.where("word = x''").select("n", "logp").first()
-    entries = found.select("block", "place", "word").join(known, "word").select(F.col("block").alias("of_block"), "place", "n", "logp")
+    entries = found.select("block", "place", "word").join(known, "word")
+    entries = entries.select(F.col("block").alias("of_block"), "place", "n", "logp", *(["word"] if across else []))
+    if across:
+        entries = entries.unionByName(placed, allowMissingColumns=True)
     smooth = np.log10(tokens + 0.5 * (kinds + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if across:
+            kept = right.select(["gram", "logp"]).filter(pc.is_valid(right["gram"])).sort_by("gram")
+            grams_in, codes = kept["gram"].to_numpy(), kept["logp"].to_numpy()
+            del kept
+            right = right.select(["place", "n", "logp", "word"]).filter(pc.is_valid(right["place"])).sort_by("place")
+            texts = right["word"].to_pylist()
         size = int(right["place"].to_numpy().max(initial=-1)) + 1
         n, logp = np.zeros(size), np.zeros(size)
         at = right["place"].to_numpy()
         n[at], logp[at] = right["n"].to_numpy(), right["logp"].to_numpy()
         base = np.log10(n + 0.5) - smooth
         sums = []
+        totals, waiting, length = [], [], 0
+        for words in left["words"] if across else ():
+            waiting.append(spoken([texts[i] for i in np.frombuffer(words.as_py() or b"", np.int32)]))
+            length += len(waiting[-1])
+            if length >= SLICE_SYMBOLS:
+                totals.append(text_log_probabilities(waiting, grams_in, codes, order))
+                waiting, length = [], 0
+        if waiting:
+            totals.append(text_log_probabilities(waiting, grams_in, codes, order))
         for words in left["words"]:
             here = np.frombuffer(words.as_py() or b"", np.int32)
             sums.append((len(here) + 1, int((n[here] > 0).sum()) + (last["n"] > 0), base[here].sum(), logp[here].sum()))
@@ -320,7 +510,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 "n_known": pa.array(known_in, pa.int64()),
                 "train_tokens": pa.array([tokens] * len(sums), pa.int64()),
                 "base_score": pa.array(np.array(base_sum) + np.log10(last["n"] + 0.5) - smooth),
-                "score": pa.array(np.array(logp_sum) + last["logp"]),
+                "score": pa.array(np.concatenate(totals) if totals else np.array(logp_sum) + last["logp"]),
             }
         )
 

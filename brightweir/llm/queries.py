@@ -49,7 +49,7 @@ def _(spark, sf_dir):
 @query("op9_lm_scoring")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return lm.score(docs.withColumn("held_out", fold() == 1))
+    return lm.score(docs.withColumn("held_out", fold() == 1), across=True)
 
 
 @query("op10_exact_top_k", topk.CHECK)

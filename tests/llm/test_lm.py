@@ -100,3 +100,62 @@ def test_counts_of_nodes_are_exact(spark):
     assert nodes[0] == (0, 23, 3, 0)
     assert nodes[key(b"a")] == (9, 9, 2, 7 + 7)
     assert nodes[key(b"ab")][:3] == (7, 7, 2)
+
+
+def plain_text_logp(text, training, order):
+    """As ``plain_logp``, with contexts over the whole text."""
+    line = lambda t: b" " + b"".join(w + b" " for w in words_of(t))
+    follow = {}
+    for padded in map(line, training):
+        for i in range(1, len(padded)):
+            for j in range(min(i, order) + 1):
+                follow.setdefault(padded[i - j : i], Counter())[padded[i]] += 1
+    padded, total = line(text), 0.0
+    for i in range(1, len(padded)):
+        excluded = set()
+        for j in range(min(i, order), -1, -1):
+            symbols = follow.get(padded[i - j : i])
+            if symbols is None:
+                continue
+            live = {s: n for s, n in symbols.items() if s not in excluded}
+            if padded[i] in live:
+                total += math.log10((2 * live[padded[i]] - 1) / (2 * sum(live.values())))
+                break
+            if live:
+                total += math.log10(len(live) / (2 * sum(live.values())))
+            excluded |= set(symbols)
+        else:
+            total -= math.log10(lm.SYMBOLS - len(excluded))
+    return total
+
+
+@pytest.mark.parametrize("order, symbols", [(0, 7), (2, 50), (lm.ORDER, 64), (6, 4 << 20)])
+def test_contexts_across_words_equal_plain_counting(spark, monkeypatch, order, symbols):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(lm, "SLICE_SYMBOLS", symbols)
+    held = F.element_at(F.array(*[F.lit(h) for h in HELD]), F.col("doc_id").cast("int") + 1)
+    docs = docs_of(spark, *TEXTS).withColumn("held_out", held)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(3), order, across=True).collect()}
+    training = [t for t, h in zip(TEXTS, HELD) if not h]
+    assert len(got) == len(TEXTS)
+    for i, text in enumerate(TEXTS):
+        assert got[i] == pytest.approx(plain_text_logp(text, training, order))
+
+
+def test_shuffled_words_score_lower(spark):
+    docs = docs_of(spark, "the cat sat on the mat by the door", "door mat the the by on cat sat the", "the cat sat on the mat by the door")
+    docs = docs.withColumn("held_out", F.col("doc_id") < 2)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, across=True).collect()}
+    assert got[0] > got[1] + 1
+    empty = docs_of(spark, "a b").withColumn("held_out", F.lit(True))
+    assert lm.score(empty, across=True).first()["score"] == pytest.approx(-5 * math.log10(lm.SYMBOLS))
+    assert lm.score(empty.where("false"), across=True).count() == 0
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 3, 50])
+def test_slices_give_the_same_grams(monkeypatch, symbols):
+    flat, starts = lm.laid_out([lm.spoken(words) for words in ([], [b"ab", b"c"], [b"x" * 30])])
+    grams = lambda: [k for part in lm.text_keys(flat, starts, 5) for k in part.to_pylist()]
+    whole = grams()
+    monkeypatch.setattr(lm, "SLICE_SYMBOLS", symbols)
+    assert grams() == whole

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..runtime import new_dir
-from . import bpe, decontaminate, licenses, lm, pii, simhash, token_counts, topk, toxicity, warc
+from . import align, bpe, decontaminate, exact, licenses, lm, pii, simhash, token_counts, topk, toxicity, warc
 from .common import fold, table, text_or_empty
 from .registry import CHECKS, QUERIES, query
 
@@ -103,3 +103,14 @@ def _(spark, sf_dir):
         rollup.commit("revise", token_counts.revised(token_counts.counted(moved, "words-1"), token_counts.counted(moved, "words-2")))
     rollup.fold(["insert", "delete"], "base")
     return rollup.totals(["base", "revise"])
+
+
+@query("op11_token_alignment")
+def _(spark, sf_dir):
+    files = [align.read_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.align(table(spark, sf_dir, "documents"), *files)
+
+
+@query("op13_exact_dedup", exact.CHECK)
+def _(spark, sf_dir):
+    return exact.exact_groups(table(spark, sf_dir, "documents"))

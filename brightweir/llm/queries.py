@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..runtime import new_dir
-from . import align, bpe, decontaminate, exact, licenses, lm, pii, simhash, token_counts, topk, toxicity, warc
+from . import align, bpe, decontaminate, exact, licenses, lm, phrases, pii, simhash, token_counts, topk, toxicity, warc
 from .common import fold, table, text_or_empty
 from .registry import CHECKS, QUERIES, query
 
@@ -111,6 +111,11 @@ def _(spark, sf_dir):
     return align.align(table(spark, sf_dir, "documents"), *files)
 
 
+@query("op12_phrase_collocations", phrases.CHECK)
+def _(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, per_lang=2_000)
+
+
 @query("op13_exact_dedup", exact.CHECK)
 def _(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))

@@ -8,7 +8,8 @@ further pass: a node's flow is the weight of its outgoing edges plus the correct
 end there, and so on down to single words.
 
 * **Pruning.** A first pass adds up words and word pairs in a table of fixed size by hash,
-  counts capped where they are frequent enough. What shares a slot below the support is
+  counts capped where they are frequent enough, a second one grams of three and four words
+  that the first does not rule out. What shares a slot below the support is
   rare for certain, so positions stop before it, and the flow that leaves the graph there
   is a correction like that of a piece end. Only exact counts decide later; a full table
   prunes less and changes nothing.
@@ -70,13 +71,39 @@ class Words(dict):
         return self.hashed
 
 
-def slots(hashes: np.ndarray, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of the word and of the word pair that begin at each place."""
+def slots(hashes: np.ndarray, numbers: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """Slots of the grams of the given sizes that begin at each place."""
     of = hashes[numbers]
-    pair = (of * np.uint64(0x9E3779B97F4A7C15)) ^ np.roll(of, -1)
-    pair *= np.uint64(0xC2B2AE3D27D4EB4F)
-    shift = np.uint64(64 - bits)
-    return (of >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    gram, out = of, []
+    for size in range(1, max(sizes) + 1):
+        if size > 1:
+            gram = (gram * np.uint64(0x9E3779B97F4A7C15)) ^ np.roll(of, 1 - size)
+        if size in sizes:
+            out.append(((gram * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64))
+    return out
+
+
+def ahead(flags: np.ndarray, step: int = 1) -> np.ndarray:
+    """The flag ``step`` places further on, false behind the end."""
+    return np.append(flags[step:], np.zeros(min(step, len(flags)), bool))
+
+
+def likely_grams(words: Words, numbers: np.ndarray, likely: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """For sizes 1 to 4, where a gram begins that the passes so far do not rule out."""
+    real = numbers > 0
+    one = real
+    if not likely:
+        two = real & ahead(real)
+        return [one, two]
+    first, second = slots(words.hashes(), numbers, (1, 2), bits)
+    two = real & ahead(real) & likely[0][second]
+    one = real & (likely[0][first] | two)
+    three = two & ahead(two)
+    if len(likely) > 1:
+        third, fourth = slots(words.hashes(), numbers, (3, 4), bits)
+        three &= likely[1][third]
+        return [one, two, three, three & ahead(three) & likely[1][fourth]]
+    return [one, two, three, three & ahead(three)]
 
 
 def by_language(batch: pa.RecordBatch, vocabularies: dict[str, Words]) -> Iterator[tuple[str, Words, np.ndarray]]:
@@ -99,21 +126,26 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
 
 
-def frequent_slots(docs: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """Bits of the slots whose words and word pairs together reach ``min_count``: ``2 ** bits / 8`` bytes, whatever the input."""
+def frequent_slots(docs: DataFrame, min_count: int, bits: int, known: list[np.ndarray]) -> np.ndarray:
+    """Bits of the slots whose grams together reach ``min_count``: ``2 ** bits / 8`` bytes, whatever the input.
+
+    Without ``known`` bits, slots of words and word pairs; with those, of three and four words
+    whose pairs they do not rule out.
+    """
     least, size = min(min_count, 255), 1 << bits
     block = min(size, BLOCK_SLOTS)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    sizes = (3, 4) if known else (1, 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = [np.unpackbits(x).view(bool) for x in shared.value]
         table = np.zeros(size, np.uint8)
         vocabularies: dict[str, Words] = {}
         for batch in batches:
             for _, words, numbers in by_language(batch, vocabularies):
-                one, two = slots(words.hashes(), numbers, bits)
-                real = numbers > 0
-                both = real & np.roll(real, -1)
-                both[-1:] = False
-                slot, n = np.unique(np.concatenate((one[real], two[both])), return_counts=True)
+                at = likely_grams(words, numbers, likely, bits)[-2:]
+                of = slots(words.hashes(), numbers, sizes, bits)
+                slot, n = np.unique(np.concatenate([s[w] for s, w in zip(of, at, strict=True)]), return_counts=True)
                 table[slot] = np.minimum(table[slot] + n, least)
         some = [i for i in range(0, size, block) if table[i : i + block].any()]
         if some:
@@ -154,25 +186,18 @@ def frequent_slots(docs: DataFrame, min_count: int, bits: int) -> np.ndarray:
     return np.packbits(found)
 
 
-def longest_grams(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
+def longest_grams(docs: DataFrame, known: list[np.ndarray], bits: int) -> DataFrame:
     """``(lang, gram, size, cnt)``: the longest grams of all positions, added up by batch; size 0 counts all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = np.unpackbits(shared.value).view(bool)
+        likely = [np.unpackbits(x).view(bool) for x in shared.value]
         vocabularies: dict[str, Words] = {}
         for batch in batches:
             langs, grams, sizes, counts = [], [], [], []
             for lang, words, numbers in by_language(batch, vocabularies):
-                one, two = slots(words.hashes(), numbers, bits)
-                real = numbers > 0
-                pair = real & np.append(real[1:], False) & likely[two]
-                reach = np.where(real & (likely[one] | pair), 1, 0)
-                more = np.ones(len(pair), bool)
-                for step in range(LONGEST - 1):
-                    more &= np.append(pair[step:], np.zeros(step, bool))
-                    reach += more
-                found = [((b"",), 0, int(real.sum()))]
+                reach = np.sum(likely_grams(words, numbers, likely, bits), axis=0)
+                found = [((b"",), 0, int((numbers > 0).sum()))]
                 names = words.names
                 for size in range(1, LONGEST + 1):
                     at = np.flatnonzero(reach == size)
@@ -331,8 +356,10 @@ def phrase_counts(docs: DataFrame, min_count: int, lang_col: str = "lang", text_
     """``(lang, gram, size, cnt)`` of all phrases of one to four words with at least ``min_count`` occurrences, and ``(lang, n)``."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    frequent = frequent_slots(docs, min_count, bits)
-    grams = saved(longest_grams(docs, frequent, bits).groupBy("lang", "gram", "size").agg(F.sum("cnt").alias("cnt")), "phrase-grams")
+    known: list[np.ndarray] = []
+    for _ in range(2):
+        known.append(frequent_slots(docs, min_count, bits, list(known)))
+    grams = saved(longest_grams(docs, known, bits).groupBy("lang", "gram", "size").agg(F.sum("cnt").alias("cnt")), "phrase-grams")
     totals = grams.where("size = 0").select("lang", F.col("cnt").alias("n"))
     return saved(flows(grams.where("size > 0")).where(F.col("cnt") >= min_count), "phrases"), totals
 

@@ -7,14 +7,18 @@ reads single numbers (a maximum, a count, a modularity).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-from ..runtime import cut
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..runtime import cut, new_dir
 from .overlap import HEAVY, overlap_pairs, union_all
-from .relational import chunked_sets, symmetric, vertices_of
+from .relational import chunked_sets, dense_index, running_totals, symmetric, vertices_of
 
 CUT_EVERY = 4
-ROOT_BLOCK = 2_000
+WIDTH = 16  # roots of a block: with 64 the generated code of the sums takes longer to compile than it saves
+BLOCKS_AT_ONCE = 4_096
+WIDE = "decimal(38,0)"
 
 
 def cooccurrence_edges(pairs: DataFrame, threshold: int, heavy: int = HEAVY) -> DataFrame:
@@ -67,92 +71,135 @@ def communities(labels: DataFrame, chunk_size: int = 10000) -> DataFrame:
     )
 
 
-def bfs_levels(both: DataFrame, start: DataFrame) -> list[DataFrame]:
-    """One table ``(root, node, sigma)`` per distance; sigma counts shortest paths.
+def numbered_roots(roots: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """``(id, block, bit)``: every root is one of the ``WIDTH`` bits of a block.
+
+    ``order(id, place)`` puts roots of equal place next to each other, so that blocks of a
+    graph with many components cover few of them.
+    """
+    if order is None:
+        named = dense_index(roots, "id")
+    else:
+        key = F.struct("place", "id").alias("key")
+        named = dense_index(roots.join(order, "id").select(key), "key").select(F.col("key.id").alias("id"), "idx")
+    return named.select("id", F.floor(F.col("idx") / WIDTH).alias("block"), (F.col("idx") % WIDTH).cast("int").alias("bit"))
+
+
+def bit(i: int) -> Column:
+    return F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")
 
-    ``both`` has every edge in both directions, ``start`` the roots.
 
-    A neighbour of distance d lies at d-1, d or d+1, so a new frontier only has to be
-    compared with the last two.
+def lane_sums(name: str) -> list[Column]:
+    return [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for i in range(WIDTH)]
+
+
+def bfs_waves(both: DataFrame, numbered: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """One table ``(block, node, mask, sigma)`` per distance, ``WIDTH`` roots in a row.
+
+    ``both`` has every edge in both directions. Bit i of ``mask`` says that the node has
+    this distance from root i of the block, ``sigma[i]`` how many shortest paths lead there.
+    Edges are walked once for each block, not for each root, and what was reached before
+    is told by bits: a neighbour of distance d lies at d-1, d or d+1, so a new wave only
+    has to be compared with the last two.
     """
-    frontier = cut(start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("sigma")))
-    levels = [frontier]
-    while True:
-        reached = (
-            frontier.join(both, frontier["node"] == both["src"])
-            .groupBy("root", F.col("dst").alias("node"))
-            .agg(F.sum("sigma").alias("sigma"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.when(i == F.col("bit"), 1.0).otherwise(0.0))
+    masks = F.when(F.col("bit") == 63, bit(63)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")))
+    # roots of a block are different nodes, so the first wave has one row for each
+    waves = [cut(numbered.select("block", F.col("id").alias("node"), masks.alias("mask"), own.alias("sigma")))]
+    while most is None or len(waves) <= most:
+        moved = waves[-1].join(both, F.col("node") == both["src"]).select("block", F.col("dst").alias("node"), "sigma", F.lit(0).cast("bigint").alias("seen"))
+        for old in waves[-2:]:
+            moved = moved.unionByName(old.select("block", "node", F.lit(None).cast("array<double>").alias("sigma"), F.col("mask").alias("seen")))
+        reached = moved.groupBy("block", "node").agg(*lane_sums("sigma"), F.bit_or("seen").alias("seen"))
+        fresh = F.array(
+            *(F.when(F.col("seen").bitwiseAND(bit(i)) == 0, F.coalesce(f"sigma{i}", F.lit(0.0))).otherwise(0.0) for i in range(WIDTH))
         )
-        seen = levels[-1].select("root", "node")
-        if len(levels) > 1:
-            seen = seen.union(levels[-2].select("root", "node"))
-        frontier = cut(reached.join(seen, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return levels
-        levels.append(frontier)
+        mask = reduce(Column.bitwiseOR, (F.when(F.get("sigma", F.lit(i)) > 0, bit(i)).otherwise(F.lit(0).cast("bigint")) for i in range(WIDTH)))
+        wave = cut(reached.select("block", "node", fresh.alias("sigma")).select("block", "node", mask.alias("mask"), "sigma").where("mask <> 0"))
+        if most is None and wave.isEmpty():
+            break
+        waves.append(wave)
+    return waves
+
+
+def bfs_levels(edges: DataFrame, roots: DataFrame | None = None, most: int | None = None) -> list[DataFrame]:
+    """One table ``(root, node, sigma)`` per distance, up to ``most``; sigma counts shortest paths."""
+    numbered = cut(numbered_roots(vertices_of(edges) if roots is None else roots))
+    waves = bfs_waves(cut(symmetric(edges)), numbered, most)
+    names = numbered.select("block", "bit", F.col("id").alias("root"))
+    return [
+        wave.select("block", "node", F.posexplode("sigma").alias("bit", "sigma")).where("sigma > 0").join(names, ["block", "bit"]).select("root", "node", "sigma")
+        for wave in waves
+    ]
 
 
 def bfs_all(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(root, node, level, sigma)`` for every root and every node it reaches."""
-    start = vertices_of(edges) if roots is None else roots
-    levels = bfs_levels(cut(symmetric(edges)), start)
+    levels = bfs_levels(edges, roots)
     return union_all([level.withColumn("level", F.lit(i)) for i, level in enumerate(levels)]).select("root", "node", "level", "sigma")
 
 
-def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None, order: DataFrame | None = None, at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
     """``(src, dst, betweenness)``: shortest-path credit of each edge over all roots, halved.
 
     Credit flows from the deepest level up: a node passes ``sigma_p / sigma_n`` of one
-    plus what it received to each predecessor p. Roots are taken in blocks of about
-    ``ROOT_BLOCK`` whose credits add up, so no more than a block's paths exist at once.
+    plus what it received to each predecessor p. Blocks of roots are keys of one job a
+    level. Only beyond ``at_once`` blocks (65,536 roots) are they taken in turns whose
+    credits add up, which bounds the state to that many roots times the nodes they reach.
     """
     both = cut(symmetric(edges))
-    start = cut(vertices_of(edges) if roots is None else roots)
-    blocks = -(-start.count() // ROOT_BLOCK)
-    if blocks <= 1:
-        flows = path_credits(both, start)
-    else:
-        blocked = cut(start.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
-        flows = []
-        for i in range(blocks):
-            part = path_credits(both, blocked.where(F.col("block") == i).select("id"))
-            flows += [cut(union_all(part).groupBy("src", "dst").agg(F.sum("credit").alias("credit")))] if part else []
+    numbered = cut(numbered_roots(vertices_of(edges) if roots is None else roots, order))
+    turns = numbered.select(F.floor(F.col("block") / at_once)).distinct().count()
+    flows = []
+    for turn in range(turns):
+        some = numbered if turns == 1 else numbered.where(F.floor(F.col("block") / at_once) == turn)
+        part = path_credits(both, some)
+        flows += [part if turns == 1 else cut(part)] if part is not None else []
     if not flows:
         return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
     return union_all(flows).groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
 
 
-def path_credits(both: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """Credits ``(src, dst, credit)`` of the paths from ``roots``, one table for each depth."""
-    levels = bfs_levels(both, roots)
-    received = None
-    flows = []
-    for depth in range(len(levels) - 1, 0, -1):
-        nodes = levels[depth]
-        if received is None:
-            nodes = nodes.withColumn("delta", F.lit(0.0))
-        else:
-            nodes = nodes.join(received, ["root", "node"], "left").fillna({"delta": 0.0})
-        parents = levels[depth - 1].select(
-            "root", F.col("node").alias("parent"), F.col("sigma").alias("parent_sigma")
-        )
-        flow = cut(
-            nodes.join(both, nodes["node"] == both["src"])
-            .withColumnRenamed("dst", "parent")
-            .join(parents, ["root", "parent"])
-            .select(
-                "root",
-                "parent",
-                "node",
-                (F.col("parent_sigma") / F.col("sigma") * (1 + F.col("delta"))).alias("credit"),
+def path_credits(both: DataFrame, numbered: DataFrame) -> DataFrame | None:
+    """Credits ``(src, dst, credit)`` of the paths from the roots, or nothing if there are no edges.
+
+    With ``rate = (1 + received) / sigma`` of a node, each predecessor gets its own sigma
+    times the rate; so rates are summed over the children first and meet the sigma of the
+    predecessor once.
+    """
+    waves = bfs_waves(both, numbered)
+    if len(waves) == 1:
+        return None
+    nodes = waves[-1].select("block", "node", "sigma", F.array_repeat(F.lit(0.0), WIDTH).alias("received"))
+    rates = []
+    for depth in range(len(waves) - 1, 0, -1):
+        rate = F.array(
+            *(
+                F.when(F.get("sigma", F.lit(i)) > 0, (1 + F.get("received", F.lit(i))) / F.get("sigma", F.lit(i))).otherwise(0.0)
+                for i in range(WIDTH)
             )
         )
-        flows.append(
-            flow.groupBy(F.least("parent", "node").alias("src"), F.greatest("parent", "node").alias("dst"))
-            .agg(F.sum("credit").alias("credit"))
-        )
-        received = flow.groupBy("root", F.col("parent").alias("node")).agg(F.sum("credit").alias("delta"))
-    return flows
+        rates.append(cut(nodes.select("block", F.lit(depth).alias("depth"), "node", rate.alias("rate"))))
+        if depth > 1:
+            passed = (
+                rates[-1]
+                .join(both, F.col("node") == both["src"])
+                .select("block", F.col("dst").alias("node"), "rate")
+                .groupBy("block", "node")
+                .agg(*lane_sums("rate"))
+            )
+            got = F.array(*(F.get("sigma", F.lit(i)) * F.coalesce(f"rate{i}", F.lit(0.0)) for i in range(WIDTH)))
+            nodes = waves[depth - 1].join(passed, ["block", "node"], "left").select("block", "node", "sigma", got.alias("received"))
+    parents = union_all([wave.select("block", F.lit(i + 1).alias("depth"), F.col("node").alias("parent"), "sigma") for i, wave in enumerate(waves[:-1])])
+    credit = reduce(Column.__add__, (F.get("sigma", F.lit(i)) * F.get("rate", F.lit(i)) for i in range(WIDTH)))
+    flow = (
+        union_all(rates)
+        .join(both, F.col("node") == both["src"])
+        .select("block", "depth", "node", F.col("dst").alias("parent"), "rate")
+        .join(parents, ["block", "depth", "parent"])
+        .select(F.least("parent", "node").alias("src"), F.greatest("parent", "node").alias("dst"), credit.alias("credit"))
+    )
+    return flow.groupBy("src", "dst").agg(F.sum("credit").alias("credit")).where("credit > 0")
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -256,40 +303,83 @@ def girvan_newman(edges: DataFrame, tol: float = 1e-6) -> tuple[DataFrame, DataF
 
     Returns ``(labels(id, label), trace(step, max_bet, n_communities, q))``. The first
     partition with the highest modularity wins; the uncut graph is never a candidate
-    and no vertex is ever dropped. After a cut only the components that lost an edge
-    are measured again, the scores of all others stay valid.
+    and no vertex is ever dropped.
+
+    Scores of an edge depend on its own component only, so a round cuts *every* component
+    at its own maximum and notes the cuts as rows; there are as many rounds as a component
+    is cut in a row, however many components there are. ``cut_steps`` merges the cuts into
+    the steps that a loop over the whole graph would take (maxima within ``tol`` are one
+    step). Modularity is a sum over communities, kept as whole numbers, so a cut is a
+    difference and the best step has no rounding.
     """
     spark = edges.sparkSession
     original = cut(edges.select("src", "dst"))
     vertices = cut(vertices_of(original))
-    current = original
-    components = cut(connected_components(current, vertices))
-    scores = cut(edge_betweenness(current)) if not current.isEmpty() else None
-    best_q, best, trace = float("-inf"), components, []
+    two_m = 2 * original.count()
+    k = cut(degrees(original).select("id", F.col("k").cast(WIDE).alias("k")))
+    parts = cut(connected_components(original, vertices))
+    start = parts.join(k, "id").groupBy("component").agg(F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    products = start.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2).cast(WIDE).alias("products"), F.count("*").alias("n")).first()
+    cuts_path, moves_path = new_dir(spark, "split-cuts"), new_dir(spark, "split-moves")
+    lineage = parts.select("component").distinct().withColumn("key", F.array().cast("array<bigint>"))
+    current, live, turn = original, parts, 0
     while not current.isEmpty():
-        max_bet = scores.agg(F.max("betweenness")).first()[0]
-        removed = cut(top_edges(scores, tol))
-        touched = cut(
-            removed.select(F.col("src").alias("id")).join(components, "id").select("component").distinct()
+        place = live.select("id", F.col("component").alias("place"))
+        scores = cut(edge_betweenness(current, order=place).join(place.withColumnRenamed("id", "src"), "src"))
+        highest = scores.groupBy("place").agg(F.max("betweenness").alias("highest"))
+        judged = scores.join(highest, "place").withColumn("falls", F.col("highest") - F.col("betweenness") < tol)
+        kept = cut(judged.where("not falls").select("src", "dst"))
+        ids = live.select("id")
+        after = cut(connected_components(kept, ids).join(place, "id").join(k, "id"))
+        children = after.groupBy("place", "component").agg(F.sum("k").alias("total"))
+        split = children.groupBy("place").agg(
+            F.count("*").alias("children"),
+            F.sum("total").alias("whole"),
+            F.sum(F.col("total") * F.col("total")).alias("squares"),
         )
-        hit = cut(components.join(touched, "component", "left_semi").select("id"))
-        current = cut(remove_edges(current, removed))
-        hit_edges = current.join(hit, current["src"] == hit["id"], "left_semi")
-        components = cut(
-            components.join(hit, "id", "left_anti")
-            .select("id", "component")
-            .unionByName(connected_components(hit_edges, hit))
+        fallen = judged.where("falls").groupBy("place").agg(F.count("*").alias("fallen"), F.first("highest").alias("highest"))
+        mark = F.round(-F.col("highest") / tol).cast("bigint")
+        cuts = cut(
+            fallen.join(split, "place")
+            .join(lineage.withColumnRenamed("component", "place"), "place")
+            .select(
+                F.lit(turn).alias("turn"),
+                "place",
+                "highest",
+                # what a later, lower maximum comes before no longer holds it back
+                F.concat(F.filter("key", lambda x: x >= mark), F.array(mark)).alias("key"),
+                (F.col("children") - 1).alias("more"),
+                (-two_m * F.col("fallen") - (F.col("squares") - F.col("whole") * F.col("whole")) / 2).cast(WIDE).alias("gain"),
+            )
         )
-        q = modularity(components, current, original).first()[0]
-        n_communities = components.select("component").distinct().count()
-        trace.append((len(trace) + 1, float(max_bet), n_communities, float(q)))
-        if q > best_q:
-            best_q, best = q, components
-        kept = scores.join(hit, scores["src"] == hit["id"], "left_anti")
-        hit_edges = cut(hit_edges)
-        if hit_edges.isEmpty():
-            scores = cut(kept)
-        else:
-            scores = cut(kept.unionByName(edge_betweenness(hit_edges)))
-    steps = spark.createDataFrame(trace, "step int, max_bet double, n_communities bigint, q double")
-    return best.select("id", F.col("component").alias("label")), steps
+        cuts.write.mode("append").parquet(cuts_path)
+        after.where("component <> place").select(F.lit(turn).alias("turn"), "place", "id", "component").write.mode("append").parquet(moves_path)
+        ends = kept.select(F.col("src").alias("id")).join(after, "id").select("component").distinct()
+        live = cut(after.join(ends, "component", "left_semi").select("id", "component"))
+        lineage = cut(after.select("component", "place").distinct().join(ends, "component", "left_semi").join(cuts.select("place", "key"), "place").select("component", "key"))
+        current, turn = kept, turn + 1
+    empty = spark.createDataFrame([], "step int, max_bet double, n_communities bigint, q double")
+    if turn == 0:
+        return parts.select("id", F.col("component").alias("label")), empty
+    cuts = cut(cut_steps(spark.read.parquet(cuts_path)))
+    by_step = cuts.groupBy("step").agg(F.max("highest").alias("max_bet"), F.sum("more").alias("more"), F.sum("gain").cast(WIDE).alias("gain"))
+    totals = cut(running_totals(by_step, "step", "more", "gain"))
+    first_sum = F.lit(two_m * original.count() - int(products["products"])).cast(WIDE)
+    steps = totals.select("step", "max_bet", (F.col("more") + products["n"]).alias("n_communities"), (F.col("gain") + first_sum).cast(WIDE).alias("sum"))
+    best = steps.orderBy(F.desc("sum"), "step").first()["step"]
+    moves = spark.read.parquet(moves_path).join(cuts.select("turn", "place", "step"), ["turn", "place"]).where(F.col("step") <= best)
+    last = moves.groupBy("id").agg(F.max_by("component", "step").alias("moved"))
+    labels = parts.join(last, "id", "left").select("id", F.coalesce("moved", "component").alias("label"))
+    q = F.col("sum").cast("double") / (float(two_m) * float(two_m))
+    return labels, steps.select(F.col("step").cast("int").alias("step"), "max_bet", "n_communities", q.alias("q"))
+
+
+def cut_steps(cuts: DataFrame) -> DataFrame:
+    """The cuts with the ``step`` they fall into when the highest maximum of all components goes first.
+
+    A component can be cut once its predecessor is, and the highest comes next. So a cut waits
+    for the lowest maximum on the way to it, then for the lowest after that one, and so on:
+    ``key`` lists these, negated, and cuts go in its order. Equal keys are one step.
+    """
+    steps = dense_index(cuts, "key", "step").withColumn("step", F.col("step") + 1)
+    return cuts.join(steps, "key")

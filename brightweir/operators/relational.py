@@ -58,6 +58,21 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     )
 
 
+def running_totals(df: DataFrame, order: str, *columns: str) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its sum over all rows up to this one by ``order``, which must not repeat.
+
+    Rows are range-partitioned; only the sums of the partitions meet in one place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(*(F.sum(c).alias(f"before_{c}") for c in columns))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("part", *(F.coalesce(F.sum(f"before_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in columns))
+    local = Window.partitionBy("part").orderBy(order)
+    rest = [c for c in df.columns if c not in columns]
+    return ranged.join(F.broadcast(offsets), "part").select(*rest, *((F.col(f"before_{c}") + F.sum(c).over(local)).alias(c) for c in columns))
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every undirected edge."""
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

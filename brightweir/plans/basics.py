@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import hashing, numeric, text
 from ..operators import itemsets, model, overlap, recommend, relational, reports, similarity, sketches
-from ..operators.graph import label_propagation, remove_edges, top_edges, community_members
-from ..runtime import new_dir
+from ..operators.graph import bfs_levels, label_propagation, remove_edges, top_edges, community_members
+from ..runtime import cut, new_dir
 from ..sinks import writers
 from ..sources import readers
 from . import views
@@ -416,15 +416,8 @@ def _(spark, sf_dir):
     GROUP BY a.src, b.dst""",
 )
 def _(spark, sf_dir):
-    both = relational.symmetric(edges(spark, sf_dir))
-    first = both.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    reached = (
-        first.join(both, first["node"] == both["src"])
-        .groupBy("root", F.col("dst").alias("node"))
-        .agg(F.count("*").alias("sigma"))
-        .where(F.col("root") != F.col("node"))
-    )
-    return reached.join(first, ["root", "node"], "left_anti")
+    second = bfs_levels(cut(edges(spark, sf_dir)), most=2)[2]
+    return second.select("root", "node", F.col("sigma").cast("bigint").alias("sigma"))
 
 
 @query(
@@ -626,9 +619,12 @@ def _(spark, sf_dir):
     WHERE rnk <= 5""",
 )
 def _(spark, sf_dir):
-    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("cnt"))
-    order = Window.partitionBy("l_suppkey").orderBy(F.col("cnt").desc(), "l_partkey")
-    return counts.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= 5)
+    """The most frequent parts of a supplier, as neighbours of one pair each."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("sim"))
+    weighted = counts.select(F.col("l_suppkey").alias("user_id"), F.lit(0).alias("item_id"), F.col("l_partkey").alias("other"), "sim")
+    return recommend.top_neighbours(weighted, 5).select(
+        F.col("user_id").alias("l_suppkey"), F.col("other").alias("l_partkey"), F.col("sim").alias("cnt"), F.col("rank").alias("rnk")
+    )
 
 
 @query(

@@ -12,29 +12,38 @@ from .registry import once, query
 from .views import with_views
 
 THRESHOLD = 4  # smallest number of shared items
-#: The same for breadth-first search, betweenness and Girvan-Newman, whose SQL grows with the cube of the vertices.
-PATH_THRESHOLD = 7
+#: Community splitting takes another graph: parts that were bought together in three orders. Its
+#: components stay small at every scale, while a giant one of E edges takes up to E cuts in a row.
+SPLIT_THRESHOLD = 3
+DEPTH = 12  # of the searches in SQL, which give nothing if a path is longer
 CHUNK = 4  # members of a row, small enough for communities of several rows
 
 
-def edges(spark, sf_dir, threshold: int = THRESHOLD):
-    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), threshold)
+def edges(spark, sf_dir):
+    return graph.cooccurrence_edges(views.pairs(spark, sf_dir), THRESHOLD)
 
 
-def path_edges(spark, sf_dir):
-    return edges(spark, sf_dir, PATH_THRESHOLD)
+def split_edges(spark, sf_dir):
+    parts = views.table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    return graph.cooccurrence_edges(parts, SPLIT_THRESHOLD)
 
 
-def sql_edges(recursive: bool = False, threshold: int = THRESHOLD) -> str:
-    return with_views("pairs", recursive=recursive) + f""", edges AS (
+def sql_edges(recursive: bool = False) -> str:
+    return with_views("pairs", recursive=recursive) + f""", edges AS MATERIALIZED (
         SELECT a.user_id AS src, b.user_id AS dst, count(*) AS shared FROM pairs a JOIN pairs b
         ON a.item = b.item AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id
-        HAVING count(*) >= {threshold})"""
+        HAVING count(*) >= {THRESHOLD})"""
+
+
+SPLIT_EDGES_SQL = f"""WITH RECURSIVE baskets AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS part FROM lineitem),
+    edges AS MATERIALIZED (
+        SELECT a.part AS src, b.part AS dst, count(*) AS shared FROM baskets a JOIN baskets b
+        ON a.basket = b.basket AND a.part < b.part GROUP BY a.part, b.part HAVING count(*) >= {SPLIT_THRESHOLD})"""
 
 
 EDGES_SQL = sql_edges()
 
-BOTH = """, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+BOTH = """, both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
     verts AS (SELECT DISTINCT src AS id FROM both_ways)"""
 
 
@@ -51,32 +60,53 @@ def labels_sql(rounds: int = 5) -> str:
 
 LABELS_SQL = labels_sql()
 
-PATHS_SQL = (
-    sql_edges(recursive=True, threshold=PATH_THRESHOLD)
-    + BOTH
-    + """, walks(root, node, level) AS (
+
+def paths_sql(edges_sql: str) -> str:
+    """Distances by a search that keeps one row for each root and node, then path counts level by level."""
+    steps = [
+        """, dist(root, node, level) USING KEY (root, node) AS (
         SELECT id, id, 0 FROM verts
-        UNION SELECT w.root, b.dst, w.level + 1 FROM walks w JOIN both_ways b ON b.src = w.node
-        WHERE w.level < (SELECT count(*) FROM verts)),
-    dist AS MATERIALIZED (SELECT root, node, min(level) AS level FROM walks GROUP BY root, node),
-    paths(root, node, level, sigma) AS (
-        SELECT id, id, 0, CAST(1 AS DOUBLE) FROM verts
-        UNION ALL SELECT p.root, b.dst, p.level + 1, sum(p.sigma) FROM paths p
-        JOIN both_ways b ON b.src = p.node
-        JOIN dist d ON d.root = p.root AND d.node = b.dst AND d.level = p.level + 1
-        GROUP BY p.root, b.dst, p.level + 1)"""
-)
+        UNION SELECT d.root, b.dst, d.level + 1 FROM dist d JOIN both_ways b ON b.src = d.node
+        ANTI JOIN recurring.dist k ON k.root = d.root AND k.node = b.dst),
+    s0 AS MATERIALIZED (SELECT id AS root, id AS node, CAST(1 AS DOUBLE) AS sigma FROM verts)"""
+    ]
+    for i in range(1, DEPTH + 1):
+        steps.append(
+            f""", s{i} AS MATERIALIZED (
+        SELECT p.root, b.dst AS node, sum(p.sigma) AS sigma FROM s{i - 1} p JOIN both_ways b ON b.src = p.node
+        JOIN dist d ON d.root = p.root AND d.node = b.dst AND d.level = {i} GROUP BY p.root, b.dst)"""
+        )
+    whole = f"(SELECT count(*) FROM s{DEPTH}) = 0"
+    levels = " UNION ALL ".join(f"SELECT root, node, {i} AS level, sigma FROM s{i} WHERE {whole}" for i in range(DEPTH))
+    return edges_sql + BOTH + "".join(steps) + f", paths AS ({levels})"
 
-BETWEENNESS_SQL = (
-    PATHS_SQL
-    + """, sp AS MATERIALIZED (SELECT * FROM paths),
-    betweenness AS (
-        SELECT least(e.src, e.dst) AS src, greatest(e.src, e.dst) AS dst,
-               sum(a.sigma * b.sigma / w.sigma) / 2 AS betweenness
-        FROM both_ways e JOIN sp a ON a.node = e.src JOIN sp b ON b.root = e.dst
-        JOIN sp w ON w.root = a.root AND w.node = b.node AND w.level = a.level + 1 + b.level
-        GROUP BY 1, 2)"""
-)
+
+def betweenness_sql(edges_sql: str) -> str:
+    steps = [f", r{DEPTH} AS MATERIALIZED (SELECT root, node, CAST(0 AS DOUBLE) AS rate FROM s{DEPTH})"]
+    for i in range(DEPTH - 1, -1, -1):
+        steps.append(
+            f""", r{i} AS MATERIALIZED (
+        SELECT p.root, p.node, (1 + p.sigma * coalesce(sum(r.rate), 0)) / p.sigma AS rate
+        FROM s{i} p LEFT JOIN (both_ways b JOIN r{i + 1} r ON r.node = b.dst) ON b.src = p.node AND r.root = p.root
+        GROUP BY p.root, p.node, p.sigma)"""
+        )
+    flows = " UNION ALL ".join(
+        f"""SELECT b.src, b.dst, p.sigma * r.rate AS credit FROM s{i} p JOIN both_ways b ON b.src = p.node
+        JOIN r{i + 1} r ON r.root = p.root AND r.node = b.dst"""
+        for i in range(DEPTH - 1)
+    )
+    return (
+        paths_sql(edges_sql)
+        + "".join(steps)
+        + f""", betweenness AS (
+        SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(credit) / 2 AS betweenness
+        FROM ({flows}) WHERE (SELECT count(*) FROM s{DEPTH}) = 0 GROUP BY 1, 2)"""
+    )
+
+
+PATHS_SQL = paths_sql(sql_edges(recursive=True))
+BETWEENNESS_SQL = betweenness_sql(sql_edges(recursive=True))
+SPLIT_SQL = betweenness_sql(SPLIT_EDGES_SQL)
 
 
 @query("grf1_cooccurrence_graph", EDGES_SQL + " SELECT src, dst, shared FROM edges")
@@ -107,7 +137,7 @@ def _(spark, sf_dir):
     PATHS_SQL + " SELECT root, node, level, CAST(sigma AS BIGINT) AS sigma FROM paths",
 )
 def _(spark, sf_dir):
-    return graph.bfs_all(cut(path_edges(spark, sf_dir))).withColumn("sigma", F.col("sigma").cast("bigint"))
+    return graph.bfs_all(cut(edges(spark, sf_dir))).withColumn("sigma", F.col("sigma").cast("bigint"))
 
 
 @query(
@@ -115,7 +145,7 @@ def _(spark, sf_dir):
     BETWEENNESS_SQL + " SELECT src, dst, round(betweenness, 4) AS betweenness FROM betweenness",
 )
 def _(spark, sf_dir):
-    scores = graph.edge_betweenness(cut(path_edges(spark, sf_dir)))
+    scores = graph.edge_betweenness(cut(edges(spark, sf_dir)))
     return scores.select("src", "dst", F.round("betweenness", 4).alias("betweenness"))
 
 
@@ -169,7 +199,7 @@ def _(spark, sf_dir):
 
 def split(spark, sf_dir):
     """Labels and trace of one run, which the queries of both share."""
-    run = lambda: tuple(cut(df) for df in graph.girvan_newman(path_edges(spark, sf_dir)))
+    run = lambda: tuple(cut(df) for df in graph.girvan_newman(split_edges(spark, sf_dir)))
     return once(spark, "girvan-newman", sf_dir, run)
 
 
@@ -183,6 +213,24 @@ def _(spark, sf_dir):
     return split(spark, sf_dir)[1]
 
 
+@query(
+    "grf9_first_cut",
+    SPLIT_SQL
+    + """, kept AS (SELECT * FROM betweenness WHERE (SELECT max(betweenness) FROM betweenness) - betweenness >= 1e-6),
+    two AS (SELECT src, dst FROM kept UNION ALL SELECT dst, src FROM kept),
+    reach(root, node) AS (SELECT id, id FROM verts UNION SELECT r.root, b.dst FROM reach r JOIN two b ON b.src = r.node),
+    comp AS MATERIALIZED (SELECT root AS id, min(node) AS component FROM reach GROUP BY root),
+    deg AS (SELECT src AS id, count(*) AS k FROM both_ways GROUP BY src),
+    m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM edges),
+    sums AS (SELECT component, (sum(k) * sum(k) - sum(k * k)) / 2 AS products FROM comp JOIN deg USING (id) GROUP BY component)
+    SELECT round((SELECT max(betweenness) FROM betweenness), 6) AS max_bet, CAST(count(*) AS BIGINT) AS n_communities,
+           round(((SELECT count(*) FROM kept) - sum(products) / (2 * max(m))) / (2 * max(m)), 9) AS q FROM sums, m""",
+)
+def _(spark, sf_dir):
+    first = split(spark, sf_dir)[1].where("step = 1")
+    return first.select(F.round("max_bet", 6).alias("max_bet"), "n_communities", F.round("q", 9).alias("q"))
+
+
 @query(
     "agg13_edge_credit_sum",
     BETWEENNESS_SQL
@@ -190,7 +238,7 @@ def _(spark, sf_dir):
     round(max(betweenness), 4) AS highest FROM betweenness""",
 )
 def _(spark, sf_dir):
-    return graph.edge_betweenness(cut(path_edges(spark, sf_dir))).agg(
+    return graph.edge_betweenness(cut(edges(spark, sf_dir))).agg(
         F.count("*").alias("edges"),
         F.round(F.sum("betweenness"), 3).alias("total"),
         F.round(F.max("betweenness"), 4).alias("highest"),
@@ -213,26 +261,21 @@ def _(spark, sf_dir):
     return spark.read.option("lineSep", "'").text(path)
 
 
-@query(
-    "snk5_edge_report",
-    EDGES_SQL
-    + """ SELECT '(''' || src || ''', ''' || dst || '''),' || CAST(round(shared / 3, 5) AS VARCHAR) AS value
-    FROM edges""",
-)
-def _(spark, sf_dir):
+REPORT_SQL = """ SELECT '(''' || src || ''', ''' || dst || '''),' || CAST(round(betweenness, 5) AS VARCHAR) AS value
+    FROM betweenness"""
+
+
+def edge_report(spark, scores):
     path = new_dir(spark, "edge-report")
-    scores = edges(spark, sf_dir).select("src", "dst", (F.col("shared") / 3).alias("betweenness"))
-    writers.write_edge_report(scores, path)
+    writers.write_edge_report(cut(scores), path)
     return spark.read.text(path)
 
 
-@query(
-    "snk5_betweenness_report",
-    BETWEENNESS_SQL
-    + """ SELECT '(''' || src || ''', ''' || dst || '''),' || CAST(round(betweenness, 5) AS VARCHAR) AS value
-    FROM betweenness""",
-)
+@query("snk5_edge_report", SPLIT_SQL + REPORT_SQL)
 def _(spark, sf_dir):
-    path = new_dir(spark, "betweenness-report")
-    writers.write_edge_report(cut(graph.edge_betweenness(cut(path_edges(spark, sf_dir)))), path)
-    return spark.read.text(path)
+    return edge_report(spark, graph.edge_betweenness(cut(split_edges(spark, sf_dir))))
+
+
+@query("snk5_betweenness_report", BETWEENNESS_SQL + REPORT_SQL)
+def _(spark, sf_dir):
+    return edge_report(spark, graph.edge_betweenness(cut(edges(spark, sf_dir))))

@@ -13,7 +13,7 @@ from ..functions.hashing import (
 )
 from ..functions.numeric import trailing_zeros, trailing_zeros_of_text
 from ..operators import sketches
-from ..runtime import new_dir
+from ..runtime import cut, new_dir
 from ..sources.readers import read_id_stream, with_batch
 from ..streaming import sketches as streamed
 from . import views
@@ -194,11 +194,9 @@ def _(spark, sf_dir):
 
 @query("agg20_ratio_of_sums", RATIO_SQL.replace("FROM fm", ", CAST(sum(truth) AS BIGINT) AS truth FROM fm"))
 def _(spark, sf_dir):
-    fm = sketches.fm_estimate(events(spark, sf_dir), DISTINCT_BATCH)
-    return fm.agg(
-        F.round(F.try_divide(F.sum("estimate").cast("double"), F.sum("truth")), 6).alias("ratio"),
-        F.sum("truth").alias("truth"),
-    )
+    fm = cut(sketches.fm_estimate(events(spark, sf_dir), DISTINCT_BATCH))
+    truth = fm.agg(F.sum("truth").alias("truth"))
+    return sketches.estimate_ratio(fm).select(F.round("ratio", 6).alias("ratio"), truth.scalar().alias("truth"))
 
 
 @query(

@@ -171,3 +171,37 @@ def test_label_propagation_and_communities(spark):
     chunks = graph.communities(labels, chunk_size=2).where(F.col("community") == 0).collect()
     assert len(chunks) > 1
     assert sorted(i for r in chunks for i in r.members) == sorted(left)
+
+
+def test_splits_of_many_components_merge_into_the_loop(spark):
+    """Three components whose cuts interleave, two of them alike: equal maxima are one step."""
+    part = random_edges(5, n=7, p=0.4)
+    edges = set()
+    for offset in (0, 100):
+        edges |= {(u + offset, v + offset) for u, v in part}
+    edges |= {(200 + i, 201 + i) for i in range(5)}
+    labels, trace = graph.girvan_newman(frame(spark, edges))
+    best, expected = brute_split(edges)
+    steps = trace.orderBy("step").collect()
+    assert [(r.n_communities, round(r.max_bet, 6), round(r.q, 9)) for r in steps] == [(n, round(t, 6), round(q, 9)) for t, n, q in expected]
+    assert {r.id: r.label for r in labels.collect()} == best
+
+
+def test_split_without_edges(spark):
+    labels, trace = graph.girvan_newman(frame(spark, [(1, 2)]).where("false"))
+    assert labels.count() == 0 and trace.count() == 0
+
+
+def test_searches_from_some_roots_in_turns(spark):
+    edges = random_edges(3, n=40, p=0.08)
+    near = neighbours(edges)
+    roots = spark.createDataFrame([(v,) for v in sorted(near)[::2]], "id bigint")
+    got = {(r.root, r.node): (r.level, r.sigma) for r in graph.bfs_all(frame(spark, edges), roots).collect()}
+    expected = {}
+    for v in sorted(near)[::2]:
+        dist, sigma = paths_from(v, near)
+        expected.update({(v, n): (dist[n], sigma[n]) for n in dist})
+    assert got == expected
+    whole = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(frame(spark, edges)).collect()}
+    turns = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(frame(spark, edges), at_once=1).collect()}
+    assert all(turns[e] == pytest.approx(whole[e]) for e in edges)

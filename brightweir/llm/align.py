@@ -21,12 +21,14 @@ place, and no task holds more than a chunk and a shard.
 Encoding goes by pieces that both tokenizers provably treat apart: cut before a blank
 that follows a non-space and precedes a letter. There A starts a new word by its pattern,
 and B has no token with a blank after another character (checked when it is loaded,
-otherwise texts are encoded whole). A worker encodes each distinct piece once.
+otherwise texts are encoded whole). A worker encodes each distinct piece once. ASCII pieces
+are merged by token rank, which is faster, if the vocabulary proves that this is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -34,14 +36,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import held, saved, ship
 
-CHUNK_BYTES = 4 << 20  # of text
-STORE_PIECES = 400_000  # distinct pieces that a worker remembers before it starts afresh
+CHUNK_BYTES = 2 << 20  # of text
+STORE_PIECES = 100_000  # distinct pieces that a worker remembers before it starts afresh
+LEARN_PIECES = 2_000  # encoded at once
+SLICE_BYTES = 1 << 19  # of text aligned at once
 SHARDS, SALTS = 16, 8
+#: Fixed value: how the byte-level tokenizer splits words.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CUT = re.compile(r"(?<=\S)(?= [A-Za-zÀ-ÖØ-öø-ÿ])")
 BLANK = "▁"
 
@@ -53,10 +60,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merges_by_rank(a_file: bytes) -> bool:
+    """True if merging the pair whose joined token has the lowest id gives what the list of merges gives.
+
+    Merges go in the order of the list, and a made token only takes part in later ones. A token
+    that its own bytes lead to is therefore always made from the one pair it is listed with. So
+    it is enough that ids follow the list and that every token is reached from its bytes.
+    """
+    spec = json.loads(a_file)
+    model, shape = spec["model"], spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or shape.get("type") != "ByteLevel" or not shape.get("use_regex", True) or shape.get("add_prefix_space"):
+        return False
+    if any(model.get(option) for option in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    vocabulary = model["vocab"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary.get(a + b) for a, b in pairs]
+    if None in made or any(a >= b for a, b in zip(made, made[1:])) or not set(byte_letters()) <= set(vocabulary):
+        return False
+    rank = {pair: i for i, pair in enumerate(pairs)}
+    reached = set(byte_letters())
+    for a, b in pairs:
+        parts = list(a + b)
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:]), key=lambda pair: rank.get(pair, len(pairs)))
+            if best not in rank:
+                return False
+            i, merged = 0, []
+            while i < len(parts):
+                joined = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
+                merged.append(parts[i] + parts[i + 1] if joined else parts[i])
+                i += 1 + joined
+            parts = merged
+        reached.add(a + b)
+    return {t for t, i in vocabulary.items() if i not in {x["id"] for x in spec["added_tokens"]}} == reached
+
+
 class TokenizerPair:
     """Both tokenizers, the bytes of their tokens, and a store of the pieces met so far."""
 
-    def __init__(self, a_file: bytes, b_file: bytes) -> None:
+    def __init__(self, a_file: bytes, b_file: bytes, by_rank: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -67,52 +110,95 @@ class TokenizerPair:
         letters = byte_letters()
         names = {i: token for token, i in json.loads(a_file)["model"]["vocab"].items()}
         self.a_bytes = [bytes(letters[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
+        #: For ASCII pieces, where nothing hangs on the Unicode tables of the libraries.
+        self.quick = None
+        if by_rank:
+            import tiktoken
+
+            ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+            self.quick = tiktoken.Encoding("by-rank", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        #: an id and what follows it: within a group, or at its end
+        self.words = [f"{i}{sign}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for sign in (",", last)]
         self.apart = not any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids: tuple[list, list] = ([], [])  # of A and of B, by place
-        self.text: list[str | None] = []  # groups as text, by place; null where the bytes differ
+        self.ids = [np.empty(0, np.int32), np.empty(0, np.int32)]  # of A and of B, one piece after another
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces, each of which begins with the blank that B adds by itself."""
-        of_a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        of_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for piece, a, b in zip(pieces, of_a, of_b, strict=True):
-            self.place[piece] = len(self.place)
-            whole = piece.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            self.ids[0].append(a)
-            self.ids[1].append(b)
-            self.text.append(groups_text(a, b, *shared_ends(self.a_sizes[a], self.b_sizes[b])) if same else None)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, str]]:
-        """Ids of A, ids of B and the groups of each text; none for empty texts and where the bytes differ."""
+        parts: tuple[list, list] = ([], [])  # sizes and ids, slice by slice
+        for start in range(0, len(pieces), LEARN_PIECES):  # what the libraries return is large
+            some = pieces[start : start + LEARN_PIECES]
+            if self.quick:
+                of_a = [self.quick.encode_ordinary(p) if p.isascii() else None for p in some]
+                rest = iter(self.by_library([p for p in some if not p.isascii()]))
+                of_a = [next(rest) if ids is None else ids for ids in of_a]
+            else:
+                of_a = self.by_library(some)
+            for side, of in enumerate((of_a, self.b.encode([p[1:] for p in some], num_threads=1))):
+                sizes = np.fromiter(map(len, of), np.int64, len(of))
+                parts[side].append((sizes, np.fromiter(itertools.chain.from_iterable(of), np.int32, int(sizes.sum()))))
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        for side in (0, 1):
+            sizes = np.concatenate([s for s, _ in parts[side]])
+            self.ends[side] = np.concatenate((self.ends[side], len(self.ids[side]) + np.cumsum(sizes)))
+            self.ids[side] = np.concatenate((self.ids[side], *(ids for _, ids in parts[side])))
+
+    def by_library(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B of all texts, one after another, and their numbers by text.
+
+        Empty texts, and texts whose bytes the ids do not give back, have no ids.
+        """
         if len(self.place) > STORE_PIECES:
             self.forget()
         split = [(CUT.split(" " + t) if self.apart else [" " + t]) if t else [] for t in texts]
         fresh = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.place))
         if fresh:
             self.learn(fresh)
-        out = []
-        nothing = np.empty(0, np.int64)
-        for pieces in split:
-            places = [self.place[p] for p in pieces]
-            groups = [self.text[i] for i in places]
-            if not places or None in groups:
-                out.append((nothing, nothing, ""))
-            else:
-                a, b = (np.concatenate([ids[i] for i in places]) for ids in self.ids)
-                out.append((a, b, ";".join(groups)))
-        return out
+        place = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        by_text = np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)
+        ids, bounds = [], []
+        for side in (0, 1):
+            start, end = self.ends[side][place], self.ends[side][place + 1]
+            ends = np.concatenate(([0], np.cumsum(end - start)))
+            ids.append(self.ids[side][np.arange(ends[-1]) + np.repeat(start - ends[:-1], end - start)])
+            bounds.append(ends[by_text])
+        same = np.array([self.gives_back(t, *(i[c[n] : c[n + 1]] for i, c in zip(ids, bounds, strict=True))) for n, t in enumerate(texts)], bool)
+        counts = [np.diff(c) for c in bounds]
+        if not same.all():
+            ids = [i[np.repeat(same, c)] for i, c in zip(ids, counts, strict=True)]
+            counts = [np.where(same, c, 0) for c in counts]
+        return ids, counts
+
+    def gives_back(self, text: str | None, a: np.ndarray, b: np.ndarray) -> bool:
+        """True if the tokens of both sides give back a blank and the text."""
+        whole = f" {text}".encode() if text else b""
+        return all(b"".join(map(of.__getitem__, ids.tolist())) == whole for of, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
+    def groups(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each text: the ids of each group, in order."""
+        (a, b), (at_a, at_b) = ids, shared_ends(self.a_sizes[ids[0]], self.b_sizes[ids[1]])
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[at_a], last_b[at_b] = 1, 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        marks = np.empty(len(a) + len(b), np.int64)  # A tokens of a group, then its B tokens
+        marks[np.arange(len(a)) + np.concatenate(([0], at_b + 1))[group_a]] = 2 * a + last_a
+        marks[np.arange(len(b)) + at_a[group_b] + 1] = 2 * (len(self.a_bytes) + b) + last_b
+        words = list(map(self.words.__getitem__, marks.tolist()))
+        ends = np.cumsum(counts[0] + counts[1]).tolist()
+        return ["".join(words[start:end])[:-1] for start, end in zip([0, *ends], ends)]
 
 
 def shared_ends(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,16 +207,6 @@ def shared_ends(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, n
     return at_a, at_b
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group, in order."""
-    out, from_a, from_b = [], 0, 0
-    a, b = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()]
-    for to_a, to_b in zip(at_a.tolist(), at_b.tolist(), strict=True):
-        out.append(f"{','.join(a[from_a : to_a + 1])}|{','.join(b[from_b : to_b + 1])}")
-        from_a, from_b = to_a + 1, to_b + 1
-    return ";".join(out)
-
-
 def mixed(keys: np.ndarray, turn: int) -> np.ndarray:
     """64 well mixed bits of each key, other ones for each ``turn``."""
     x = keys.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -184,11 +260,22 @@ class MinimalHash:
         return out
 
     def columns(self) -> tuple[bytes, bytes, bytes]:
-        return self.words.astype("<u8").tobytes(), self.sizes.astype("<i8").tobytes(), self.keys.astype("<i8").tobytes()
+        return packed(self.words, "<u8"), packed(self.sizes), packed(self.keys)
 
     @classmethod
     def read(cls, words: bytes, sizes: bytes, keys: bytes) -> MinimalHash:
-        return cls(*(np.frombuffer(x, t) for x, t in ((words, "<u8"), (sizes, "<i8"), (keys, "<i8"))))
+        return cls(unpacked(words, "<u8"), unpacked(sizes), unpacked(keys))
+
+
+def packed(values: np.ndarray, kind: str = "<i8", steps: bool = False) -> bytes:
+    """Compressed bytes of an array; ``steps`` stores what each value adds to the one before it."""
+    values = np.diff(values, prepend=0) if steps else values
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def unpacked(data: bytes, kind: str = "<i8", steps: bool = False) -> np.ndarray:
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.cumsum(values) if steps else values
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -208,8 +295,8 @@ class Chunk:
     """The encoded documents of one chunk row, aligned from their ids."""
 
     def __init__(self, row: dict, a_sizes: np.ndarray, b_sizes: np.ndarray) -> None:
-        self.n_a, self.n_b = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("a_counts", "b_counts"))
-        a, b = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("a_ids", "b_ids"))
+        self.n_a, self.n_b = (unpacked(row[c], "<u4").astype(np.int64) for c in ("a_counts", "b_counts"))
+        a, b = (unpacked(row[c], "<u4").astype(np.int64) for c in ("a_ids", "b_ids"))
         # both sides of a document have the same bytes, so ends may run on over the documents
         at_a, at_b = shared_ends(a_sizes[a], b_sizes[b])
         self.links = (a[at_a] << 32) | b[at_b]
@@ -221,6 +308,18 @@ class Chunk:
         return np.diff(np.concatenate(([0], np.cumsum(values)))[ends])
 
 
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += 50 + len(text or "")
+        if size >= SLICE_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -235,8 +334,8 @@ class Aligner:
         self.files = spark.sparkContext.broadcast((a_file, b_file))
         self.shards, self.salts, self.chunk_bytes = shards, salts, chunk_bytes
         mark = hashlib.sha256(a_file + b_file).hexdigest()
-        files = self.files
-        self.pair: Callable[[], TokenizerPair] = lambda: held(("align", mark), lambda: TokenizerPair(*files.value))
+        files, by_rank = self.files, merges_by_rank(a_file)
+        self.pair: Callable[[], TokenizerPair] = lambda: held(("align", mark), lambda: TokenizerPair(*files.value, by_rank))
 
     def encoded(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """One row for each chunk of documents: its ids by both tokenizers and digests of the groups."""
@@ -251,11 +350,14 @@ class Aligner:
 
             def give() -> pa.RecordBatch:
                 nonlocal docs_in, size, number
-                done = pair.encode([t for _, t in docs_in])
-                sides = [[d[s] for d in done] for s in (0, 1)]
-                ids = [np.concatenate(x).astype("<i4").tobytes() for x in sides]
-                counts = [np.array([len(y) for y in x], "<i4").tobytes() for x in sides]
-                digests = [hashlib.sha256(d[2].encode()).hexdigest() if d[2] else "" for d in done]
+                ids, counts, digests = ([], []), ([], []), []
+                for texts in slices([t for _, t in docs_in]):
+                    some, n = pair.encode(texts)
+                    digests += [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in pair.groups(some, n)]
+                    for side in (0, 1):
+                        ids[side].append(some[side])
+                        counts[side].append(n[side])
+                ids, counts = ([packed(np.concatenate(x), "<u4") for x in sides] for sides in (ids, counts))
                 columns = [
                     pa.array([number], pa.int64()),
                     pa.array([[i for i, _ in docs_in]], pa.list_(id_type)),
@@ -294,8 +396,8 @@ class Aligner:
                     [
                         pa.array([row["chunk"]] * len(some), pa.int64()),
                         pa.array(some, pa.int64()),
-                        pa.array([keys[of == s].astype("<i8").tobytes() for s in some], pa.binary()),
-                        pa.array([counts[of == s].astype("<i8").tobytes() for s in some], pa.binary()),
+                        pa.array([packed(keys[of == s], steps=True) for s in some], pa.binary()),
+                        pa.array([packed(counts[of == s]) for s in some], pa.binary()),
                     ],
                     ["chunk", "shard", "keys", "counts"],
                 )
@@ -312,11 +414,11 @@ class Aligner:
 
             def give() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays(
-                    [*(pa.array([x], pa.int64()) for x in name), pa.array([keys.astype("<i8").tobytes()], pa.binary())], [*by, "keys"]
+                    [*(pa.array([x], pa.int64()) for x in name), pa.array([packed(keys, steps=True)], pa.binary())], [*by, "keys"]
                 )
 
             for row in rows_in(batches):
-                mine = np.frombuffer(row["keys"], "<i8")
+                mine = unpacked(row["keys"], steps=True)
                 here = tuple(row[c] for c in by)
                 if here == name:
                     keys = np.union1d(keys, mine)
@@ -335,7 +437,7 @@ class Aligner:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_in(batches):
-                words, sizes, keys = MinimalHash.of(np.frombuffer(row["keys"], "<i8")).columns()
+                words, sizes, keys = MinimalHash.of(unpacked(row["keys"], steps=True)).columns()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]], pa.int64()), *(pa.array([x], pa.binary()) for x in (words, sizes, keys))],
                     ["shard", "words", "sizes", "keys"],
@@ -360,7 +462,7 @@ class Aligner:
             shard, table, dense = None, None, None
 
             def give() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([dense.tobytes()], pa.binary())], ["shard", "counts"])
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([packed(dense)], pa.binary())], ["shard", "counts"])
 
             for row in rows_in(batches):
                 if row["chunk"] == -1:
@@ -370,7 +472,7 @@ class Aligner:
                     table = MinimalHash.read(row["words"], row["sizes"], row["keys"])
                     dense = np.zeros(len(table.keys), "<i8")
                 else:
-                    dense[verified(table, row)] += np.frombuffer(row["counts"], "<i8")
+                    dense[verified(table, row)] += unpacked(row["counts"])
             if dense is not None and dense.any():
                 yield give()
 
@@ -378,10 +480,10 @@ class Aligner:
             shard, dense = None, None
 
             def give() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([dense.astype("<i8").tobytes()], pa.binary())], ["shard", "counts"])
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([packed(dense)], pa.binary())], ["shard", "counts"])
 
             for row in rows_in(batches):
-                mine = np.frombuffer(row["counts"], "<i8")
+                mine = unpacked(row["counts"])
                 if row["shard"] == shard:
                     dense = dense + mine
                 else:
@@ -396,30 +498,31 @@ class Aligner:
         return vectors.repartition("shard").sortWithinPartitions("shard").mapInArrow(total, "shard bigint, counts binary")
 
     def answers(self, hashes: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``(chunk, keys, counts, best)``: what each chunk asked for, by shard."""
+        """``(chunk, shard, counts, best)``: what each chunk asked for, in the order of its keys."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, dense, best = None, None, None
             for row in rows_in(batches):
                 if row["chunk"] == -1:
                     table = MinimalHash.read(row["words"], row["sizes"], row["keys"])
-                    dense = np.frombuffer(row["counts"], "<i8")
+                    dense = unpacked(row["counts"])
                     b_ids, place = np.unique(table.keys & 0xFFFFFFFF, return_inverse=True)
                     highest = np.zeros(len(b_ids), np.int64)
                     np.maximum.at(highest, place, dense)
                     best = dense == highest[place]
                 else:
                     at = verified(table, row)
-                    columns = [pa.array([x], pa.binary()) for x in (row["keys"], dense[at].tobytes(), best[at].tobytes())]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), *columns], ["chunk", "keys", "counts", "best"])
+                    columns = [pa.array([x], pa.int64()) for x in (row["chunk"], row["shard"])]
+                    columns += [pa.array([x], pa.binary()) for x in (packed(dense[at]), packed(best[at], "u1"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "shard", "counts", "best"])
 
         known = hashes.join(counts, "shard")
-        asked = self.met(known, pairs.select("chunk", "shard", "keys")).select("chunk", "words", "sizes", "keys", "counts")
-        return asked.mapInArrow(run, "chunk bigint, keys binary, counts binary, best binary")
+        asked = self.met(known, pairs.select("chunk", "shard", "keys")).select("chunk", "shard", "words", "sizes", "keys", "counts")
+        return asked.mapInArrow(run, "chunk bigint, shard bigint, counts binary, best binary")
 
     def looked_up(self, chunks: DataFrame, answers: DataFrame) -> DataFrame:
         """Second pass: documents are aligned again and look up the counts of their links."""
-        pair_of = self.pair
+        pair_of, shards = self.pair, self.shards
         kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -430,19 +533,19 @@ class Aligner:
                 id_type = batch.schema.field("doc_ids").type.value_type
                 for row in rows_in([batch]):
                     if row["doc_ids"] is None:
-                        if known and known[0][0] != row["chunk"]:
-                            known = []
-                        known.append((row["chunk"], *(np.frombuffer(row[c], t) for c, t in (("keys", "<i8"), ("counts", "<i8"), ("best", "?")))))
+                        known = [x for x in known if x[0] == row["chunk"]]
+                        known.append((row["chunk"], row["shard"], unpacked(row["counts"]), unpacked(row["best"], "u1")))
                         continue
-                    mine = [x for x in known if x[0] == row["chunk"]]
-                    known = []
                     chunk = Chunk(row, pair.a_sizes, pair.b_sizes)
-                    counts, best = np.empty(0, np.int64), np.empty(0, np.int64)
-                    if mine:
-                        keys, counts, best = (np.concatenate([x[i] for x in mine]) for i in (1, 2, 3))
-                        order = np.argsort(keys)
-                        at = order[np.searchsorted(keys, chunk.links, sorter=order)]
-                        counts, best = counts[at], best[at].astype(np.int64)
+                    keys, place = np.unique(chunk.links, return_inverse=True)
+                    of = shard_of(keys, shards)
+                    counts, best = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+                    for name, shard, some, marks in known:
+                        if name == row["chunk"]:
+                            counts[of == shard], best[of == shard] = some, marks
+                    if len(counts) and counts.min() == 0:
+                        raise RuntimeError("a shard has not answered")
+                    known, counts, best = [], counts[place], best[place]
                     n = [chunk.n_a, chunk.n_b, chunk.n_links, chunk.n_links, chunk.sums(best), chunk.sums(counts)]
                     columns = [pa.array(row["doc_ids"], id_type), *(pa.array(x.astype(np.int64)) for x in n), pa.array(row["digests"], pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names)
@@ -455,7 +558,7 @@ class Aligner:
 
 
 def verified(table: MinimalHash, row: dict) -> np.ndarray:
-    at = table.index(np.frombuffer(row["keys"], "<i8"))
+    at = table.index(unpacked(row["keys"], steps=True))
     if len(at) and at.min() < 0:
         raise RuntimeError("a pair is missing in the hash of its shard")
     return at

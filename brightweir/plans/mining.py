@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import itemsets, model, overlap, recommend, reports, similarity
 from ..runtime import cut, new_dir
 from ..sinks import writers
-from ..sources.readers import read_transactions
+from ..sources.readers import read_rating_folder, read_transactions
 from . import views
 from .basics import (
     BUCKET_SQL,
@@ -18,6 +18,7 @@ from .basics import (
     REPORT_SQL,
     YEAR,
     flat_report,
+    rating_folder,
 )
 from .registry import once, query
 from .views import with_views
@@ -508,14 +509,20 @@ def _(spark, sf_dir):
     )
 
 
-@query(
-    "mdl3_hybrid_weight",
+HYBRID_SQL = (
     predict_sql(10)
     + """, bp AS (SELECT item_id, count(*) AS rc FROM dated GROUP BY item_id),
     bf AS (SELECT * FROM bp WHERE item_id IN (SELECT item_id FROM train)),
     p AS (SELECT (SELECT quantile_cont(n, 0.95) FROM (SELECT item_id, count(*) AS n FROM dd GROUP BY item_id)) AS p,
-                 (SELECT quantile_cont(rc, 0.1) FROM bf) AS k)
-    SELECT cf.user_id, cf.item_id, round(prediction, 5) AS prediction, neighbor_count,
+                 (SELECT quantile_cont(rc, 0.1) FROM bf) AS k)"""
+)
+JOB_ROUNDS = 20
+
+
+@query(
+    "mdl3_hybrid_weight",
+    HYBRID_SQL
+    + """ SELECT cf.user_id, cf.item_id, round(prediction, 5) AS prediction, neighbor_count,
            round(CASE WHEN neighbor_count = 0 AND coalesce(rc, 0) = 0 THEN 1
                  ELSE least(neighbor_count, p) / p * (k / (coalesce(rc, 0) + k)) END, 6) AS alpha
     FROM cf LEFT JOIN bf ON bf.item_id = cf.item_id, p""",
@@ -527,6 +534,23 @@ def _(spark, sf_dir):
     return shown(weighted).withColumn("alpha", F.round("alpha", 6))
 
 
+@query(
+    "job_hybrid",
+    HYBRID_SQL
+    + """ SELECT CAST(cf.user_id AS VARCHAR) AS user_id, CAST(cf.item_id AS VARCHAR) AS item_id, TRUE AS in_range,
+           round(CASE WHEN neighbor_count = 0 AND coalesce(rc, 0) = 0 THEN 1
+                 ELSE least(neighbor_count, p) / p * (k / (coalesce(rc, 0) + k)) END, 6) AS alpha
+    FROM cf LEFT JOIN bf ON bf.item_id = cf.item_id, p""",
+)
+def _(spark, sf_dir):
+    """From a folder of files to the predictions of the hybrid, with a smaller model than ``mdl3_hybrid``."""
+    folder = read_rating_folder(spark, rating_folder(spark, sf_dir), names={"business_id": "item_id"})
+    asked = views.test_rows(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), F.col("item_id").cast("string").alias("item_id"))
+    found = model.hybrid_predict(folder["train"], asked, folder["user"], folder["business"], depth=5, rounds=JOB_ROUNDS)
+    in_range = F.coalesce(F.col("prediction").between(1 - 1e-9, 5 + 1e-9), F.lit(False))
+    return found.select("user_id", "item_id", in_range.alias("in_range"), F.round("alpha", 6).alias("alpha"))
+
+
 @query(
     "evl1_rmse",
     predict_sql(50)

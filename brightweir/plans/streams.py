@@ -135,8 +135,10 @@ def _(spark, sf_dir):
 @query("snk7_batch_metrics", BLOOM_SQL.replace("SELECT b.batch", "SELECT b.batch AS time, b.batch", 1))
 def _(spark, sf_dir):
     folder = new_dir(spark, "metrics")
-    rates = streamed.bloom_stream(event_stream(spark, sf_dir, BATCH), folder, BATCH)
-    return shown_rates(rates).select(F.col("batch").alias("time"), "batch", "new_ids", "false_positives", "fpr")
+    writer = streamed.bloom_metrics(event_stream(spark, sf_dir, BATCH), folder, BATCH)
+    streamed.run_available(writer, f"{folder}/checkpoint")
+    told = shown_rates(streamed.metric_rows(spark, folder))
+    return told.select(F.col("batch").alias("time"), "batch", "new_ids", "false_positives", "fpr")
 
 
 @query("str2_distinct_estimate", FM_SQL + " SELECT batch, truth, estimate FROM fm")

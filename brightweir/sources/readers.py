@@ -77,14 +77,20 @@ def read_rating_folder(
     train: str = "train.csv",
     user: str = "user.json",
     business: str = "business.json",
+    names: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """One folder with the training ratings and the two profile files."""
+    """One folder with the training ratings and the two profile files.
+
+    ``names`` renames columns of all three, as ``{"business_id": "item_id"}`` does for the
+    recommenders.
+    """
     base = folder.rstrip("/")
-    return {
+    tables = {
         "train": read_header_csv(spark, f"{base}/{train}", RATING_SCHEMA),
         "user": read_json_strict(spark, f"{base}/{user}", USER_SCHEMA),
         "business": read_json_strict(spark, f"{base}/{business}", BUSINESS_SCHEMA),
     }
+    return {name: table.withColumnsRenamed(names or {}) for name, table in tables.items()}
 
 
 def read_id_stream(

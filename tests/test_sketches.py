@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,49 @@ def test_ratio_is_in_the_published_range(spark):
 def test_full_size_filter_has_no_false_positives_on_few_ids(spark):
     values = [f"id-{i}" for i in range(300)]
     assert sketches.bloom_fpr(frame(spark, values), 100).agg(F.max("fpr")).first()[0] == 0.0
+
+
+def wait_for(found, seconds=120):
+    end = time.time() + seconds
+    while not found():
+        assert time.time() < end, "the stream has told nothing"
+        time.sleep(0.3)
+
+
+def test_metric_rows_of_a_running_stream_and_late_rows(spark):
+    values = ids()
+    expected = walk_bloom(values, BATCH, SMALL)
+    folder, source = new_dir(spark, "live"), new_dir(spark, "live-source")
+    events = [(i, v) for i, v in enumerate(values)]
+    late = [e for e in events if e[0] % 7 == 3 and e[0] < 2 * BATCH]
+    put = lambda rows: spark.createDataFrame(rows, "seq bigint, id string").coalesce(1).write.mode("append").parquet(source)
+    put([e for e in events if e not in late and e[0] < 2 * BATCH])
+    rows = spark.readStream.schema("seq bigint, id string").option("maxFilesPerTrigger", 1).parquet(source)
+    query = streamed.bloom_metrics(rows, folder, BATCH, SMALL, 401).option("checkpointLocation", f"{folder}/checkpoint").start()
+    told = lambda: {r.batch: (r.new_ids, r.false_positives) for r in streamed.metric_rows(spark, folder).collect()}
+    try:
+        wait_for(lambda: len(told()) == 2)
+        assert query.isActive
+        first = told()
+        put([e for e in events if e[0] >= 2 * BATCH])
+        wait_for(lambda: len(told()) == len(expected))
+        assert query.isActive and {b: told()[b] for b in first} == first
+        put(late)
+        wait_for(lambda: told() == expected)
+        assert query.isActive
+    finally:
+        query.stop()
+
+
+def test_reading_does_not_grow_with_the_epochs(spark):
+    tables = streamed.EpochTables(spark, new_dir(spark, "epochs"), every=8)
+    merge = streamed.least("id", "first")
+    for epoch in range(50):
+        rows = spark.range(1).select((F.lit(epoch % 5)).cast("string").alias("id"), F.lit(100 - epoch).cast("bigint").alias("first"))
+        tables.put("firsts", epoch, rows, merge)
+        assert len(tables.folders("firsts")) <= 8
+    tables.put("firsts", 49, rows, merge)  # the last epoch again, as after a failure
+    got = {r["id"]: r["first"] for r in tables.read("firsts", streamed.FIRSTS, merge).collect()}
+    assert got == {str(i): 100 - (45 + i) for i in range(5)}
+    early = {r["id"]: r["first"] for r in tables.read("firsts", streamed.FIRSTS, merge, below=3).collect()}
+    assert early == {"0": 100, "1": 99, "2": 98}

@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
+from ..runtime import cut
 from .common import saved, ship
 
 SEED = 42
 MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 PIECES = 5
+HOT = 500  # members of a bucket that are compared as they are
 #: Bits set in each byte value: row b has its eight bits, lowest first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE_PLACE = (256 * np.arange(8)).astype(np.int64)
@@ -131,13 +133,41 @@ def differing(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def open_buckets(members: DataFrame, key: str) -> DataFrame:
+    """Names of the buckets that hold several components."""
+    return members.groupBy(key).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select(key)
+
+
+def finer_buckets(members: DataFrame) -> DataFrame:
+    """``(bucket, fp, part)``: buckets of more than ``HOT`` members dealt anew by five pieces of the bits.
+
+    Two members within four bits agree in one piece, so every link stays in some bucket.
+    Pieces take every fifth bit, in the next turns every fifth bit of what is left, so that
+    the bits all members share lie in all pieces alike. Hashed names may put two buckets
+    together; members are compared anyway.
+    """
+    members = members.select("bucket", "fp", "part")
+    for step in (1, 5, 25):
+        hot = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"))
+        if hot.isEmpty():
+            break
+        masks = [sum(1 << i for i in range(64) if i // step % 5 == piece) for piece in range(5)]
+        pieces = [F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks]
+        names = F.array(*(F.xxhash64("bucket", F.lit(n), F.col("fp").bitwiseAND(m)) for n, m in enumerate(pieces)))
+        dealt = saved(members.join(hot, "bucket", "left_semi").select(F.explode(names).alias("bucket"), "fp", "part"), "simhash-dealt")
+        finer = dealt.join(open_buckets(dealt, "bucket"), "bucket", "left_semi")
+        members = saved(members.join(hot, "bucket", "left_anti").unionByName(finer), "simhash-finer")
+    return members
+
+
 def linked_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(fp, component)`` of distinct fingerprints linked when at most ``max_bits`` differ.
 
     Buckets are never paired up as a whole. First every member is compared with the
-    smallest member of its bucket and with its neighbour in order, which ties dense
-    groups together with two rows for each member. Then only buckets that still hold
-    several components compare members across components.
+    smallest member of its bucket and with its neighbour in order; of all its buckets one
+    near one of either kind is kept, which ties dense groups together with two rows for
+    each fingerprint. Then only buckets that still hold several components compare members
+    across components, large ones after they are dealt anew by ``finer_buckets``.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the segments prove links of at most {MAX_BITS} bits")
@@ -155,20 +185,17 @@ def linked_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .select("key", "fp", "before", "lowest"),
         "simhash-buckets",
     )
-    near = (
-        shared.where(F.col("before").isNotNull())
-        .select("fp", F.explode(F.array_distinct(F.array("before", "lowest"))).alias("other"))
-        .where(differing("fp", "other") <= max_bits)
-        .select(F.col("other").alias("src"), F.col("fp").alias("dst"))
-        .distinct()
-    )
+    # of all keys of a fingerprint one near neighbour and one near smallest member tie it in
+    ties = [F.min(F.when(differing("fp", c) <= max_bits, F.col(c))).alias(c) for c in ("before", "lowest")]
+    tied = saved(shared.where(F.col("before").isNotNull()).groupBy("fp").agg(*ties), "simhash-tied")
+    near = tied.select("before", "fp").union(tied.select("lowest", "fp")).toDF("src", "dst").where("src is not null").distinct()
     first = saved(connected_components(saved(near, "simhash-links")), "simhash-first")
     members = shared.join(first.withColumnRenamed("id", "fp"), "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("part")
     )
     members = saved(members, "simhash-members")
-    open_keys = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    rest = saved(members.join(open_keys, "key", "left_semi"), "simhash-open")
+    rest = saved(members.join(open_buckets(members, "key"), "key", "left_semi"), "simhash-open")
+    rest = finer_buckets(rest.withColumnRenamed("key", "bucket"))
     one, two = rest.toDF("key", "fp1", "part1"), rest.toDF("key2", "fp2", "part2")
     bridges = (
         one.join(two, (F.col("key") == F.col("key2")) & (F.col("part1") < F.col("part2")) & (differing("fp1", "fp2") <= max_bits))

@@ -84,3 +84,33 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, *range(3, 24)]
     assert kept.where("doc_id is null").count() == 1
     assert simhash.drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_a_hot_key_of_many_components(spark, monkeypatch):
+    """5,000 fingerprints that agree in 30 bits: one bucket of theirs holds all of them."""
+    monkeypatch.setattr(simhash, "HOT", 200)
+    rng = np.random.default_rng(8)
+    fixed = np.uint64((1 << 30) - 1)
+    base = (rng.integers(0, 1 << 62, 2_500).astype(np.uint64) << np.uint64(2)) & ~fixed
+    moved = base.copy()
+    for _ in range(4):
+        moved ^= np.uint64(1) << rng.integers(30, 64, len(base)).astype(np.uint64)
+    fps = np.unique(np.concatenate((base, moved)) | np.uint64(12345)).view(np.int64)
+    got = {r["fp"]: r["component"] for r in simhash.linked_components(spark.createDataFrame([(int(x),) for x in fps], "fp bigint")).collect()}
+    name = {int(x): int(x) for x in fps}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for x in fps:
+        near = fps[np.bitwise_count((fps ^ x).view(np.uint64)) <= 4]
+        low = min(root(int(y)) for y in near)
+        for y in near:
+            name[root(int(y))] = low
+    groups, want = {}, {}
+    for x in map(int, fps):
+        groups.setdefault(got[x], set()).add(x)
+        want.setdefault(root(x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))

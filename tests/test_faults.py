@@ -73,6 +73,6 @@ def test_chunks_put_together_are_the_sorted_list(spark):
 def test_roots_in_blocks_give_the_same_betweenness(spark, monkeypatch):
     edges = frame(spark, random_edges(5))
     whole = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(edges).collect()}
-    monkeypatch.setattr(graph, "ROOT_BLOCK", 4)
-    blocked = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(edges).collect()}
+    monkeypatch.setattr(graph, "WIDTH", 4)
+    blocked = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(edges, at_once=1).collect()}
     assert blocked == pytest.approx(whole)

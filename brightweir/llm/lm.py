@@ -4,9 +4,7 @@ A text is a sequence of words, each followed by one separator; an end closes it.
 model predicts byte by byte in the longest context it knows, up to ``ORDER`` bytes,
 and escapes to the next shorter one. Contexts run on over the separators, back to the one
 that opens the text. A block of documents counts its distinct longest grams only,
-as all shorter ones are their tails; each distinct gram is scored once for all blocks. With ``across`` false a context may hold the
-separator before a word but never reaches back over it; a word's code length then is
-computed once for each distinct word and added up for each document.
+as all shorter ones are their tails; each distinct gram is scored once for all blocks.
 
 Escape estimation is method D: with T occurrences of Q distinct symbols in a context,
 an escape has probability Q/2T and a symbol seen c times (2c-1)/2T. Symbols of the
@@ -33,11 +31,9 @@ from .common import saved, ship
 ORDER = 5  # bytes of context; a node's path of up to seven bytes fits a key
 SYMBOLS = 251  # bytes that are not white space, and the separator
 BLOCK_BYTES = 32 << 20  # text of the documents whose words meet in one task
-BLOCK_WORDS = 200_000  # distinct words scored in one task
-SLICE_WORDS = 25_000  # distinct words laid out at once
 BLOCK_GRAMS = 500_000  # distinct grams scored in one task
-SLICE_SYMBOLS = 1 << 20  # symbols of running text laid out at once
-SEPARATOR = 32
+SLICE_SYMBOLS = 1 << 19  # symbols of running text laid out at once
+LOOSE_GRAMS = 500_000  # grams that wait to be summed with those before them
 
 
 class Numbering(dict):
@@ -80,16 +76,28 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
 
 
-def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(back, np.concatenate(n), len(found)).astype(np.int64)
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their ``n``."""
+    if not len(keys):
+        return keys, n
+    at = np.argsort(keys)
+    keys, n = keys[at], n[at]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, after which Arrow gives back what it holds: an idle worker keeps nothing."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 class Grams:
     """Distinct longest grams of a block and how often they are in its training texts."""
 
     def __init__(self, order: int) -> None:
-        self.order, self.keys, self.n, self.size = order, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.order, self.loose, self.size = order, [], 0
+        self.keys = self.n = np.zeros(0, np.int64)
 
     def add(self, texts: list[bytes], training: bool) -> None:
         if not texts:
@@ -97,15 +105,17 @@ class Grams:
         for part in text_keys(*laid_out(texts), self.order):
             found = part.dictionary.to_numpy()
             n = np.bincount(part.indices.to_numpy(), minlength=len(found)) if training else np.zeros(len(found), np.int64)
-            self.keys.append(found[found >= 0])
-            self.n.append(n[found >= 0])
+            self.loose.append((found[found >= 0], n[found >= 0]))
             self.size += len(found)
-        if self.size > 4_000_000:
-            keys, n = summed(self.keys, self.n)
-            self.keys, self.n, self.size = [keys], [n], 0
+            # as many wait as are summed, so that a gram is sorted a few times only
+            if self.size > max(LOOSE_GRAMS, len(self.keys)):
+                self.rows()
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        return summed(self.keys, self.n)
+        keys, n = zip((self.keys, self.n), *self.loose, strict=True)
+        self.loose, self.size = [], 0
+        self.keys, self.n = summed(np.concatenate(keys), np.concatenate(n))
+        return self.keys, self.n
 
 
 def tails(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +124,9 @@ def tails(keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (keys[at] & ((1 << (8 * length)) - 1)) | (length << 56)
 
 
-def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
-    """Rows of two kinds, by block: documents (word numbers) and the block's distinct words (training count).
-
-    With an ``order``, also of the block's distinct longest grams (training count).
+def tokenised(docs: DataFrame, order: int) -> DataFrame:
+    """Rows of three kinds, by block: documents (word numbers), the block's distinct words and
+    its distinct longest grams (each with its training count).
 
     ``docs`` has ``(doc_id, text, held_out)``. A-Z is lower-cased; words are divided by
     the six ASCII white-space characters.
@@ -132,7 +141,7 @@ def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
         task = TaskContext.get().partitionId() << 24
         seen, block, size = Numbering(), 0, 0
         counts = np.zeros(0, np.int64)
-        found = Grams(order or 0)
+        found = Grams(order)
 
         def only(**columns: pa.Array) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
@@ -156,8 +165,7 @@ def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
                 some = whole[at : at + 50_000]
                 places = np.arange(at, at + len(some), dtype=np.int32)
                 yield only(word=pa.array(some, pa.binary()), place=pa.array(places), n=pa.array(counts[at : at + len(some)]))
-            if order is not None:
-                yield from gram_rows()
+            yield from gram_rows()
 
         for batch in batches:
             ids, start, training, out = batch.column(0), 0, [], []
@@ -169,8 +177,7 @@ def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
                 out.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 if not held[i]:
                     training.append(out[-1])
-                if order is not None:
-                    said[bool(held[i])].append(spoken(words))
+                said[bool(held[i])].append(spoken(words))
                 size += len(line)
                 if size >= BLOCK_BYTES or i == len(texts) - 1:
                     n = i + 1 - start
@@ -182,95 +189,39 @@ def tokenised(docs: DataFrame, order: int | None = None) -> DataFrame:
                 if size >= BLOCK_BYTES:
                     yield from dictionary()
                     seen, block, size, counts = Numbering(), block + 1, 0, np.zeros(0, np.int64)
-                    found = Grams(order or 0)
-        if seen or found.size or len(found.keys[0]):
+                    found = Grams(order)
+        if seen or found.size or len(found.keys):
             yield from dictionary()
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
-
-
-class Layout:
-    """Words side by side, each between separators, with the keys of their contexts."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        flat = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.ends = np.cumsum(sizes)  # place of each word's closing separator
-        self.place = np.arange(1, len(flat))  # places of the symbols
-        self.word = np.repeat(np.arange(len(words)), sizes)
-        self.depth = self.place - np.repeat(self.ends - sizes, sizes)  # bytes back to the opening separator
-        self.flat = flat
-
-    def keys(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols with ``length - 1`` bytes of context in reach, and the keys of context and symbol."""
-        at = np.flatnonzero(self.depth >= length - 1)
-        key = np.zeros(len(at), np.uint64)
-        for back in range(length - 1, -1, -1):
-            key = (key << np.uint64(8)) | self.flat[self.place[at] - back]
-        return at, (key | np.uint64(length << 56)).astype(np.int64)
-
-
-def slices(words: list[bytes]) -> Iterator[tuple[int, Layout]]:
-    """Layouts of ``SLICE_WORDS`` words, or fewer where words are long."""
-    start, size = 0, 0
-    for i, word in enumerate(words):
-        size += len(word) + 1
-        if i + 1 - start >= SLICE_WORDS or size >= 16 * SLICE_WORDS or i + 1 == len(words):
-            yield start, Layout(words[start : i + 1])
-            start, size = i + 1, 0
-
-
-def counted(keys: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    found, back = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, back, weight)
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], ["key", "n"])
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and their counts from several batches, ``BLOCK_WORDS`` or a little more at once."""
-    texts: list[bytes] = []
-    counts: list[np.ndarray] = []
-    for batch in batches:
-        texts += batch.column(0).to_pylist()
-        counts.append(batch.column(1).to_numpy())
-        if len(texts) >= BLOCK_WORDS:
-            yield texts, np.concatenate(counts)
-            texts, counts = [], []
-    if texts:
-        yield texts, np.concatenate(counts)
-
-
-def grams(words: DataFrame, order: int) -> DataFrame:
-    """``(key, n)``: how often each byte follows each context of up to ``order`` bytes; ``words`` has ``(word, n)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, n in gathered(batches):
-            for start, layout in slices(texts):
-                weight = n[start:][layout.word]
-                for length in range(1, order + 2):
-                    at, keys = layout.keys(length)
-                    yield counted(keys, weight[at])
-
-    return words.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def text_grams(longest: DataFrame, order: int) -> DataFrame:
+    """``(key, n)`` of all grams from the longest ones; ``longest`` has ``(gram, n)``.
 
+    Each length is summed before it is cut to the next, so that few rows leave a task.
+    """
 
-def text_grams(longest: DataFrame, order: int) -> DataFrame:
-    """``(key, n)`` of all grams from the longest ones; ``longest`` has ``(gram, n)``."""
+    def all_tails(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for length in range(order + 1, 0, -1):
+            cut_to = (keys & ((1 << (8 * length)) - 1)) | (length << 56)
+            keys, n = summed(np.where(keys >> 56 > length, cut_to, keys), n)
+            at = np.searchsorted(keys, length << 56)  # the length leads the key
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at:]), pa.array(n[at:])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
         for batch in batches:
-            keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for length in range(1, order + 2):
-                at, some = tails(keys, length)
-                yield counted(some, n[at])
-
-    return longest.where("n > 0").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
+            some.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= BLOCK_GRAMS:
+                yield from all_tails(*map(np.concatenate, zip(*some, strict=True)))
+                some, size = [], 0
+        if size:
+            yield from all_tails(*map(np.concatenate, zip(*some, strict=True)))
 
-def trie(words: DataFrame, order: int) -> DataFrame:
-    """The nodes of ``grams``, linked."""
-    return linked(saved(grams(words, order), "ppm-grams"))
+    counts = longest.where("n > 0").mapInArrow(lambda batches: trimmed(run(batches)), "key bigint, n bigint")
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def linked(nodes: DataFrame) -> DataFrame:
@@ -290,25 +241,6 @@ def linked(nodes: DataFrame) -> DataFrame:
     return nodes.join(inner, "key", "full").select("key", *(F.coalesce(c, zero).alias(c) for c in ("n", "t", "q", "x")))
 
 
-def word_blocks(words: DataFrame, order: int) -> DataFrame:
-    """Rows of two kinds, by block: ``word`` to be scored, and ``key`` of the nodes that its block asks for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        for some, _ in gathered(batches):
-            # contexts are grams one byte shorter, or the opening separator alone
-            wanted = np.array([0, (1 << 56) | SEPARATOR])
-            for _, layout in slices(some):
-                wanted = np.unique(np.concatenate([wanted, *(layout.keys(n)[1] for n in range(1, order + 2))]))
-            for column in (pa.array(some, pa.binary()), pa.array(wanted)):
-                empty = pa.nulls(len(column), pa.int64() if column.type == pa.binary() else pa.binary())
-                pair = [column, empty] if column.type == pa.binary() else [empty, column]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(column), pa.int64()), *pair], ["block", "word", "key"])
-            block += 1
-
-    return words.select("word", "n").mapInArrow(run, "block bigint, word binary, key bigint")
-
-
 def code_lengths(count: int, keys_at, nodes: dict[str, np.ndarray], order: int) -> np.ndarray:
     """log10 probabilities of ``count`` symbols; ``keys_at`` gives, for a length, those with so
     long a gram in reach and its key; ``nodes`` holds ``key`` (ascending), ``n``, ``t``, ``q``, ``x``."""
@@ -342,15 +274,6 @@ def code_lengths(count: int, keys_at, nodes: dict[str, np.ndarray], order: int)
     return code
 
 
-def log_probabilities(words: list[bytes], nodes: dict[str, np.ndarray], order: int) -> np.ndarray:
-    """log10 of each word's probability."""
-    out = np.zeros(len(words))
-    for start, layout in slices(words):
-        code = code_lengths(len(layout.place), layout.keys, nodes, order)
-        out[start : start + len(layout.ends)] = np.bincount(layout.word, code, minlength=len(layout.ends))
-    return out
-
-
 def gram_blocks(longest: DataFrame, order: int) -> DataFrame:
     """Rows of two kinds, by block: ``gram`` to be scored, and ``key`` of the nodes that its block asks for.
 
@@ -362,12 +285,13 @@ def gram_blocks(longest: DataFrame, order: int) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate(some)
-            wanted = [np.zeros(1, np.int64)]
-            for length in range(1, order + 2):
-                ends = np.unique(tails(keys, length)[1])
-                wanted.append(ends)
+            wanted, ends = [np.zeros(1, np.int64)], keys
+            for length in range(order + 1, 0, -1):
+                ends = np.unique(np.where(ends >> 56 > length, (ends & ((1 << (8 * length)) - 1)) | (length << 56), ends))
+                whole = ends[np.searchsorted(ends, length << 56) :]
+                wanted.append(whole)
                 if length > 1:
-                    wanted.append(np.unique(((ends & ((1 << 56) - 1)) >> 8) | ((length - 1) << 56)))
+                    wanted.append(((whole & ((1 << 56) - 1)) >> 8) | ((length - 1) << 56))
             asked = np.unique(np.concatenate(wanted))
             for column, name in ((keys, "gram"), (asked, "key")):
                 for at in range(0, len(column), 200_000):
@@ -385,7 +309,7 @@ def gram_blocks(longest: DataFrame, order: int) -> DataFrame:
             yield from rows()
 
     ending = F.reverse(F.lpad(F.hex("gram"), 16, "0"))
-    return longest.select("gram").repartitionByRange(ending).mapInArrow(run, "block bigint, gram bigint, key bigint")
+    return longest.select("gram").repartitionByRange(ending).mapInArrow(lambda batches: trimmed(run(batches)), "block bigint, gram bigint, key bigint")
 
 
 def gram_scores(longest: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
@@ -394,8 +318,8 @@ def gram_scores(longest: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
     asked = blocks.where("key is not null").select("block", "key").join(nodes, "key").withColumnRenamed("block", "of_block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("key")
-        found = {c: right[c].to_numpy() for c in ("key", "n", "t", "q", "x")}
+        at = np.argsort(right["key"].to_numpy())
+        found = {c: right[c].to_numpy()[at] for c in ("key", "n", "t", "q", "x")}
         keys = left["gram"].to_numpy()
         return pa.table({"gram": keys, "logp": code_lengths(len(keys), lambda length: tails(keys, length), found, order)})
 
@@ -418,38 +342,19 @@ def text_log_probabilities(texts: list[bytes], grams: np.ndarray, logp: np.ndarr
     return np.add.reduceat(code, starts)
 
 
-def word_scores(words: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
-    """``(word, logp)`` of distinct words, each block joined with its nodes."""
-    blocks = saved(word_blocks(words, order), "ppm-blocks")
-    asked = blocks.where("key is not null").select("block", "key").join(nodes, "key").withColumnRenamed("block", "of_block")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("key")
-        found = {c: right[c].to_numpy() for c in ("key", "n", "t", "q", "x")}
-        texts = left["word"].to_pylist()
-        return pa.table({"word": pa.array(texts, pa.binary()), "logp": log_probabilities(texts, found, order)})
-
-    return (
-        blocks.where("word is not null").select("block", "word").groupBy("block")
-        .cogroup(asked.groupBy("of_block"))
-        .applyInArrow(run, "word binary, logp double")
-    )
-
-
-def score(docs: DataFrame, order: int = ORDER, across: bool = False) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     ``docs`` has ``(doc_id, text, held_out)``; rows with ``held_out`` false train the
     model, all are scored. ``base_score`` is the smoothed unigram model over words and
     the end, ``score`` the code length of the same sequence under the trie, both log10.
-    ``across`` lets contexts run on over the separators between words.
     Null and empty texts are an end alone; a null ``held_out`` counts as false; repeated
     rows train repeatedly and give repeated results; ids pass through; a word may be as
     long as the text. Without training rows every symbol is equally likely.
     """
     if not 0 <= order <= 6:
         raise ValueError("a key holds contexts of up to six bytes")
-    parts = saved(tokenised(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False))), order if across else None), "lm-blocks")
+    parts = saved(tokenised(docs.withColumn("held_out", F.coalesce("held_out", F.lit(False))), order), "lm-blocks")
     rows = parts.where("words is not null")
     ends = rows.where("not held_out").count()
     found = parts.where("word is not null")
@@ -458,61 +363,57 @@ def score(docs: DataFrame, order: int = ORDER, across: bool = False) -> DataFram
     words = saved(words.unionByName(end), "lm-words")
     size = words.agg(F.sum("n").alias("tokens"), F.sum((F.col("n") > 0).cast("bigint")).alias("kinds")).first()
     tokens, kinds = size["tokens"], size["kinds"]
-    if across:
-        held = parts.where("gram is not null")
-        longest = saved(held.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-longest")
-        nodes = saved(linked(saved(text_grams(longest, order), "ppm-grams")), "ppm-trie")
-        scored = saved(gram_scores(longest, nodes, order), "ppm-scored")
-        placed = held.select(F.col("block").alias("of_block"), "gram").join(scored, "gram")
-        known = words.withColumn("logp", F.lit(0.0))
-    else:
-        scored = word_scores(words, saved(trie(words.where("n > 0"), order), "ppm-trie"), order)
-        known = saved(words.join(scored, "word"), "lm-known")
-    last = known.where("word = x''").select("n", "logp").first()
-    entries = found.select("block", "place", "word").join(known, "word")
-    entries = entries.select(F.col("block").alias("of_block"), "place", "n", "logp", *(["word"] if across else []))
-    if across:
-        entries = entries.unionByName(placed, allowMissingColumns=True)
+    held = parts.where("gram is not null")
+    longest = saved(held.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-longest")
+    nodes = saved(linked(saved(text_grams(longest, order), "ppm-grams")), "ppm-trie")
+    scored = saved(gram_scores(longest, nodes, order), "ppm-scored")
+    # one narrow table of both: a word has a place and its count, a gram its key and its code length
+    spelt = found.select("block", "place", "word").join(words, "word").select(F.col("block").alias("of_block"), "place", "word", F.col("n").alias("value"))
+    coded = held.select("block", "gram").join(scored, "gram").select(F.col("block").alias("of_block"), F.col("gram").alias("value"), "logp")
+    entries = spelt.unionByName(coded, allowMissingColumns=True)
     smooth = np.log10(tokens + 0.5 * (kinds + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if across:
-            kept = right.select(["gram", "logp"]).filter(pc.is_valid(right["gram"])).sort_by("gram")
-            grams_in, codes = kept["gram"].to_numpy(), kept["logp"].to_numpy()
-            del kept
-            right = right.select(["place", "n", "logp", "word"]).filter(pc.is_valid(right["place"])).sort_by("place")
-            texts = right["word"].to_pylist()
-        size = int(right["place"].to_numpy().max(initial=-1)) + 1
-        n, logp = np.zeros(size), np.zeros(size)
-        at = right["place"].to_numpy()
-        n[at], logp[at] = right["n"].to_numpy(), right["logp"].to_numpy()
+        is_word = pc.is_valid(right["place"])
+        given = right.select(["place", "value", "word"]).filter(is_word)
+        right = right.select(["value", "logp"]).filter(pc.invert(is_word))
+        grams, codes = right["value"].to_numpy(), right["logp"].to_numpy()
+        del right
+        order_of = np.argsort(grams)
+        grams, codes = grams[order_of], codes[order_of]
+        del order_of
+        at = given["place"].to_numpy()
+        n, texts = np.zeros(len(at), np.int64), [b""] * len(at)
+        n[at] = given["value"].to_numpy()
+        for place, word in zip(at.tolist(), given["word"], strict=True):
+            texts[place] = word.as_py()
         base = np.log10(n + 0.5) - smooth
-        sums = []
-        totals, waiting, length = [], [], 0
-        for words in left["words"] if across else ():
-            waiting.append(spoken([texts[i] for i in np.frombuffer(words.as_py() or b"", np.int32)]))
+        sums, totals, waiting, length = [], [], [], 0
+        for words in left["words"]:
+            here = np.frombuffer(words.as_py() or b"", np.int32)
+            sums.append((len(here) + 1, int((n[here] > 0).sum()) + (ends > 0), base[here].sum()))
+            waiting.append(spoken([texts[i] for i in here.tolist()]))
             length += len(waiting[-1])
             if length >= SLICE_SYMBOLS:
-                totals.append(text_log_probabilities(waiting, grams_in, codes, order))
+                totals.append(text_log_probabilities(waiting, grams, codes, order))
                 waiting, length = [], 0
         if waiting:
-            totals.append(text_log_probabilities(waiting, grams_in, codes, order))
-        for words in left["words"]:
-            here = np.frombuffer(words.as_py() or b"", np.int32)
-            sums.append((len(here) + 1, int((n[here] > 0).sum()) + (last["n"] > 0), base[here].sum(), logp[here].sum()))
-        tokens_in, known_in, base_sum, logp_sum = zip(*sums, strict=True) if sums else ((), (), (), ())
-        return pa.table(
+            totals.append(text_log_probabilities(waiting, grams, codes, order))
+        tokens_in, known_in, base_sum = zip(*sums, strict=True) if sums else ((), (), ())
+        done = pa.table(
             {
                 "doc_id": left["doc_id"],
                 "held_out": left["held_out"],
                 "n_tokens": pa.array(tokens_in, pa.int64()),
                 "n_known": pa.array(known_in, pa.int64()),
                 "train_tokens": pa.array([tokens] * len(sums), pa.int64()),
-                "base_score": pa.array(np.array(base_sum) + np.log10(last["n"] + 0.5) - smooth),
-                "score": pa.array(np.concatenate(totals) if totals else np.array(logp_sum) + last["logp"]),
+                "base_score": pa.array(np.array(base_sum) + np.log10(ends + 0.5) - smooth),
+                "score": pa.array(np.concatenate(totals) if totals else np.zeros(0)),
             }
         )
+        pa.default_memory_pool().release_unused()
+        return done
 
     return (
         rows.select("block", "doc_id", "held_out", "words").groupBy("block")

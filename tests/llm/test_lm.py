@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,33 +19,6 @@ def words_of(text):
     return (text or "").encode().lower().split() + [b""]
 
 
-def plain_logp(word, counts, order):
-    """PPM with method D and exclusion, from the definition."""
-    follow = {}
-    for w, n in counts.items():
-        padded = b" " + w + b" "
-        for i in range(1, len(padded)):
-            for j in range(min(i, order) + 1):
-                follow.setdefault(padded[i - j : i], Counter())[padded[i]] += n
-    padded, total = b" " + word + b" ", 0.0
-    for i in range(1, len(padded)):
-        excluded = set()
-        for j in range(min(i, order), -1, -1):
-            symbols = follow.get(padded[i - j : i])
-            if symbols is None:
-                continue
-            live = {s: n for s, n in symbols.items() if s not in excluded}
-            if padded[i] in live:
-                total += math.log10((2 * live[padded[i]] - 1) / (2 * sum(live.values())))
-                break
-            if live:
-                total += math.log10(len(live) / (2 * sum(live.values())))
-            excluded |= set(symbols)
-        else:
-            total -= math.log10(lm.SYMBOLS - len(excluded))
-    return total
-
-
 @pytest.mark.parametrize("order", [0, 2, lm.ORDER])
 def test_scores_equal_plain_counting(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 60)
@@ -61,28 +35,6 @@ def test_scores_equal_plain_counting(spark, monkeypatch, order):
         assert (row["held_out"], row["n_tokens"], row["train_tokens"]) == (bool(h), len(words), n)
         assert row["n_known"] == sum(w in counts for w in words)
         assert row["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
-        assert row["score"] == pytest.approx(sum(plain_logp(w, counts, order) for w in words))
-
-
-def test_probabilities_of_all_symbols_sum_to_one():
-    counts = Counter({b"ab": 3, b"abc": 1, b"b": 2, b"": 1})
-    first = sum(10 ** (plain_logp(bytes([c]), counts, 2) - plain_end(bytes([c]), counts)) for c in range(33, 256))
-    assert first < 1
-
-
-def plain_end(word, counts):
-    """log10 of the separator after a one-byte word."""
-    return plain_logp(word, counts, 2) - plain_logp_head(word, counts)
-
-
-def plain_logp_head(word, counts):
-    follow = Counter({w[0] if w else 32: 0 for w in counts})
-    for w, n in counts.items():
-        follow[w[0] if w else 32] += n
-    total = sum(follow.values())
-    if word[0] in follow:
-        return math.log10((2 * follow[word[0]] - 1) / (2 * total))
-    return math.log10(len(follow) / (2 * total) / lm.SYMBOLS)
 
 
 def test_no_training_rows_and_no_rows(spark):
@@ -94,16 +46,34 @@ def test_no_training_rows_and_no_rows(spark):
 
 
 def test_counts_of_nodes_are_exact(spark):
-    words = spark.createDataFrame([(b"aba", 2), (b"ab", 5)], "word binary, n bigint")
-    nodes = {r["key"]: (r["n"], r["t"], r["q"], r["x"]) for r in lm.trie(words, 2).collect()}
     key = lambda s: (len(s) << 56) | int.from_bytes(s, "big")
-    assert nodes[0] == (0, 23, 3, 0)
-    assert nodes[key(b"a")] == (9, 9, 2, 7 + 7)
-    assert nodes[key(b"ab")][:3] == (7, 7, 2)
+    longest = spark.createDataFrame([(key(b" a"), 7), (key(b" ab"), 7), (key(b"aba"), 2), (key(b"zz"), 0)], "gram bigint, n bigint")
+    grams = {r["key"]: r["n"] for r in lm.text_grams(longest, 2).collect()}
+    shorter = {b"a": 9, b"b": 7, b" a": 7, b"ab": 7, b"ba": 2, b" ab": 7, b"aba": 2}
+    assert grams == {key(k): n for k, n in shorter.items()}
+    nodes = {r["key"]: (r["n"], r["t"], r["q"], r["x"]) for r in lm.linked(lm.text_grams(longest, 2)).collect()}
+    assert nodes[0] == (0, 16, 2, 0)
+    assert nodes[key(b"a")] == (9, 7, 1, 7)
+    assert nodes[key(b"ab")] == (7, 2, 1, 2)
+
+
+def test_sums_of_grams_wait_for_one_another(monkeypatch):
+    texts = [lm.spoken([b"abc", b"abd"]), lm.spoken([b"abc"])] * 5
+    plain = Counter(k for part in lm.text_keys(*lm.laid_out(texts), 3) for k in part.to_pylist() if k >= 0)
+    monkeypatch.setattr(lm, "LOOSE_GRAMS", 3)
+    monkeypatch.setattr(lm, "SLICE_SYMBOLS", 7)
+    found = lm.Grams(3)
+    found.add(texts[:4], True)
+    found.add(texts[4:], True)
+    found.add([lm.spoken([b"new"])], False)
+    keys, n = found.rows()
+    assert (np.diff(keys) > 0).all()
+    assert {k: c for k, c in zip(keys.tolist(), n.tolist()) if c} == plain
+    assert (n == 0).sum() > 0
 
 
 def plain_text_logp(text, training, order):
-    """As ``plain_logp``, with contexts over the whole text."""
+    """PPM with method D and exclusion, from the definition."""
     line = lambda t: b" " + b"".join(w + b" " for w in words_of(t))
     follow = {}
     for padded in map(line, training):
@@ -135,7 +105,7 @@ def test_contexts_across_words_equal_plain_counting(spark, monkeypatch, order, s
     monkeypatch.setattr(lm, "SLICE_SYMBOLS", symbols)
     held = F.element_at(F.array(*[F.lit(h) for h in HELD]), F.col("doc_id").cast("int") + 1)
     docs = docs_of(spark, *TEXTS).withColumn("held_out", held)
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(3), order, across=True).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(3), order).collect()}
     training = [t for t, h in zip(TEXTS, HELD) if not h]
     assert len(got) == len(TEXTS)
     for i, text in enumerate(TEXTS):
@@ -145,11 +115,11 @@ def test_contexts_across_words_equal_plain_counting(spark, monkeypatch, order, s
 def test_shuffled_words_score_lower(spark):
     docs = docs_of(spark, "the cat sat on the mat by the door", "door mat the the by on cat sat the", "the cat sat on the mat by the door")
     docs = docs.withColumn("held_out", F.col("doc_id") < 2)
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs, across=True).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
     assert got[0] > got[1] + 1
     empty = docs_of(spark, "a b").withColumn("held_out", F.lit(True))
-    assert lm.score(empty, across=True).first()["score"] == pytest.approx(-5 * math.log10(lm.SYMBOLS))
-    assert lm.score(empty.where("false"), across=True).count() == 0
+    assert lm.score(empty).first()["score"] == pytest.approx(-5 * math.log10(lm.SYMBOLS))
+    assert lm.score(empty.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("symbols", [1, 2, 3, 50])

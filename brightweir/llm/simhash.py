@@ -68,12 +68,9 @@ def fingerprint(features: list[bytes], seed: int = SEED) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,), distinct: bool = False
+    docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)
 ) -> DataFrame:
-    """``(doc_id, fps)``, one row for each row of ``docs``: a fingerprint for each seed; a null text counts as empty.
-
-    ``distinct`` takes every shingle once, however often it is repeated.
-    """
+    """``(doc_id, fps)``, one row for each row of ``docs``: a fingerprint for each seed; a null text counts as empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +78,6 @@ def fingerprints(
             found = []
             for text in batch.column(1).cast(pa.large_binary()):
                 features = shingles(text.as_py() or b"", words)
-                features = list(set(features)) if distinct else features
                 found.append([fingerprint(features, seed) for seed in seeds])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
@@ -234,34 +230,130 @@ def simhash_components(
     )
 
 
+def word_marks(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...]) -> DataFrame:
+    """``(doc_id, node, fps)``: 128 bits of the sequence of words, and fingerprints of the distinct words."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, found = [], []
+            for text in batch.column(1).cast(pa.large_binary()):
+                words = (text.as_py() or b"").lower().split()
+                nodes.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                distinct = list(set(words))
+                found.append([fingerprint(distinct, seed) for seed in seeds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "fps"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, node string, fps array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``(node, n, grams)``: hashes of the distinct shingles of each text and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.large_binary()):
+                text = text.as_py() or b""
+                grams = np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in shingles(text, words)], np.uint64)).view(np.int64)
+                node = xxhash.xxh3_128_hexdigest(b" ".join(text.lower().split()))
+                column = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams))
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([len(grams)], pa.int32()), column], ["node", "n", "grams"])
+
+    return docs.select(text_col).mapInArrow(run, "node string, n int, grams array<bigint>")
+
+
+def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reach: int) -> list[DataFrame]:
+    """Tables ``(src, dst)`` of nodes of a cluster whose sets of shingles are as similar as asked.
+
+    ``clusters`` is ``(cluster, node, lowest, fp)``. In each turn the first nodes of every cluster,
+    by ``lowest``, are its pivots and compared with the nodes after them that differ in at most
+    ``reach`` bits. A node that has been linked to one before it leaves all its clusters, as does a
+    pivot that has met all others, so of two similar nodes of a cluster that are in reach one is linked. A turn
+    takes eight times as many pivots as the one before: clusters of similar texts end after
+    the first, and the turns grow with the logarithm of the largest number of unlike ones.
+    Sizes bound the similarity, so of a pivot no more is moved than of the nodes it meets.
+    """
+    links, pivots = [], 1
+    order = Window.partitionBy("cluster").orderBy("lowest", "node")
+    open_nodes = clusters
+    while not open_nodes.isEmpty():
+        first = open_nodes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots)
+        first = saved(first.select("cluster", F.col("node").alias("dst"), F.col("lowest").alias("lowest2"), F.col("fp").alias("fp2")), "near-pivots")
+        met = (
+            open_nodes.join(first, "cluster")
+            .where((F.struct("lowest2", "dst") < F.struct("lowest", "node")) & (differing("fp", "fp2") <= reach))
+            .select(F.col("node").alias("src"), "dst")
+            .distinct()
+        )
+        size = sets.select("node", "n")
+        sized = met.join(size.toDF("src", "n1"), "src").join(size.toDF("dst", "n2"), "dst")
+        sized = saved(sized.where(F.least("n1", "n2") >= similarity * F.greatest("n1", "n2")), "near-met")
+        grams = sets.select("node", "grams")
+        both = sized.join(grams.toDF("dst", "g2"), "dst").join(grams.toDF("src", "g1"), "src")
+        shared = F.size(F.array_intersect("g1", "g2"))
+        # whole numbers: shared / (n1 + n2 - shared) >= similarity, without a quotient
+        alike = both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.col("n1") + F.col("n2") - F.col("shared")))
+        links.append(saved(alike.select("src", "dst"), "near-links"))
+        gone = links[-1].select(F.col("src").alias("node")).distinct()
+        rest = open_nodes.join(first.select("cluster", F.col("dst").alias("node")), ["cluster", "node"], "left_anti").join(gone, "node", "left_anti")
+        several = rest.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+        open_nodes = saved(rest.join(several, "cluster", "left_semi").select("cluster", "node", "lowest", "fp"), "near-rest")
+        pivots *= 8
+    return links
+
+
 def near_groups(
-    docs: DataFrame, words: int = 1, max_bits: int = MAX_BITS, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    max_bits: int = MAX_BITS,
+    seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2, SEED + 3, SEED + 4),
+    words: int = 5,
+    similarity: float = 0.8,
+    reach: int = 12,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, group_id)``: documents linked by any of several fingerprints of their distinct words.
-
-    A near copy with a few words changed differs from its original in about five of 64
-    bits; several seeds give it several chances to stay within ``max_bits``. Groups are
-    named by their smallest id. Null and empty texts form one group. Rows with a null
-    id are left out; an id that several rows bear may be in several groups.
+    """``(doc_id, group_id)``: documents joined by links of verified similarity.
+
+    Fingerprints of the distinct words, one for each seed, propose clusters: those whose
+    fingerprints links of ``max_bits`` bits connect. Within a cluster, ``verified_links``
+    compares the sets of shingles of ``words`` words (the whole text if it is shorter).
+    Texts of the same words in the same order are one node from the start. Of two documents
+    within ``max_bits`` in some fingerprint and as similar as asked, no more than one bears the
+    name of its group; and every other document of a group is as similar to one of its group.
+    Groups are named by their smallest id. Null and empty texts form one group. Rows with
+    a null id are left out; an id that several rows bear may be in several groups.
     """
-    marks = fingerprints(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col, seeds, distinct=True)
-    marks = saved(marks, "near-marks")
-    texts = saved(marks.groupBy("fps").agg(F.min("doc_id").alias("src")), "near-texts")
-    links = []
+    docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    marks = saved(word_marks(docs, id_col, text_col, seeds), "near-marks")
+    nodes = saved(marks.groupBy("node", "fps").agg(F.min("doc_id").alias("lowest")), "near-nodes")
+    clusters = []
     for i in range(len(seeds)):
-        nodes = texts.select("src", F.get("fps", F.lit(i)).alias("fp"))
-        parts = linked_components(nodes.select("fp").distinct(), max_bits)
-        placed = saved(nodes.join(parts, "fp").select("src", "component"), "near-parts")
-        lowest = placed.groupBy("component").agg(F.min("src").alias("dst"))
-        links.append(placed.join(lowest, "component").where("src <> dst").select("src", "dst"))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    groups = connected_components(saved(edges, "near-edges"))
-    named = texts.join(groups, texts["src"] == groups["id"], "left").select(
-        F.col("fps").alias("mark"), F.coalesce("component", "src").alias("group_id")
-    )
-    return marks.join(named, marks["fps"] == named["mark"]).select("doc_id", "group_id")
+        placed = nodes.select("node", "lowest", F.get("fps", F.lit(i)).alias("fp"))
+        parts = linked_components(placed.select("fp").distinct(), max_bits)
+        placed = saved(placed.join(parts, "fp").select("component", "node", "lowest", "fp"), "near-parts")
+        several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        name = F.xxhash64(F.lit(i), "component").alias("cluster")
+        clusters.append(placed.join(several, "component", "left_semi").select(name, "node", "lowest", "fp"))
+    proposed = clusters[0]
+    for more in clusters[1:]:
+        proposed = proposed.unionByName(more)
+    proposed = saved(proposed, "near-clusters")
+    met = proposed.select("node").distinct()
+    ids = nodes.join(met, "node", "left_semi").select(F.col("lowest").alias(id_col)).distinct()
+    sets = shingle_sets(docs.join(ids, id_col, "left_semi"), text_col, words)
+    sets = saved(sets.join(met, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    edges = None
+    for found in verified_links(proposed, sets, similarity, reach):
+        edges = found if edges is None else edges.unionByName(found)
+    named = nodes.select("node", "lowest", F.col("node").alias("component"))
+    if edges is not None:
+        groups = connected_components(saved(edges, "near-edges")).withColumnRenamed("id", "node")
+        named = nodes.join(groups, "node", "left").select("node", "lowest", F.coalesce("component", "node").alias("component"))
+    named = saved(named, "near-named")
+    lowest = named.groupBy("component").agg(F.min("lowest").alias("group_id"))
+    by_node = named.join(lowest, "component").select("node", "group_id")
+    return marks.join(by_node, "node").select("doc_id", "group_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -272,4 +364,4 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     gone = near_groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(saved(gone, "near-gone"), id_col, "left_anti")
+    return docs.join(saved(gone, "near-gone"), id_col, "left_anti").select(docs.columns)

@@ -114,3 +114,67 @@ def test_a_hot_key_of_many_components(spark, monkeypatch):
         groups.setdefault(got[x], set()).add(x)
         want.setdefault(root(x), set()).add(x)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def shingled(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def word_fingerprints(text, seeds):
+    words = set((text or "").encode().lower().split())
+    hashes = [[xxhash.xxh64_intdigest(w, s) for w in words] for s in seeds]
+    return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in one) > len(one)) for one in hashes]
+
+
+def test_near_groups_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    texts = [None, "", "  ", "one two", "ONE\ttwo", "word " * 40_000]
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(60, 300))
+        texts.append(" ".join(base))
+        for edits in (0, 1, 1, 2, 4, 8):
+            near = list(base)
+            for _ in range(edits):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near))
+        texts.append(" ".join(rng.sample(base, len(base))))  # the same words in another order
+    rng.shuffle(texts)
+    docs = docs_of(spark, *texts).withColumns({c: F.lit("mine") for c in ("node", "lowest", "fp", "cluster", "grams", "group_id", "component")})
+    docs = docs.unionByName(docs.where("doc_id % 10 = 0"))
+    seeds = (42, 43)
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs, seeds=seeds).collect()}
+    sets = [shingled(t) for t in texts]
+    marks = [word_fingerprints(t, seeds) for t in texts]
+    assert set(groups) == set(range(len(texts)))
+    kept = sorted(set(groups.values()))
+    assert all(groups[k] == k for k in kept) and len(kept) < len(texts) - 30
+    for a in kept:
+        for b in kept:
+            near = any((x ^ y).bit_count() <= 4 for x, y in zip(marks[a], marks[b]))
+            assert a >= b or not (near and alike(sets[a], sets[b]))
+    for group in kept:
+        members = {i for i, g in groups.items() if g == group}
+        reached, waiting = {group}, [group]
+        while waiting:
+            at = waiting.pop()
+            more = {m for m in members - reached if alike(sets[at], sets[m])}
+            reached |= more
+            waiting += more
+        assert reached == members
+
+
+def test_links_of_a_cluster_of_unlike_texts(spark):
+    """One cluster, all in reach: 40 unlike sets and a copy of each third with one shingle more."""
+    sets = {f"n{i:02}": list(range(100 * i, 100 * i + 20)) for i in range(40)}
+    sets |= {f"m{i:02}": sets[f"n{i:02}"] + [-1] for i in range(0, 40, 3)}
+    clusters = spark.createDataFrame([(1, n, int(n[1:]) + 100 * (n[0] == "m"), 0) for n in sets], "cluster bigint, node string, lowest bigint, fp bigint")
+    table = spark.createDataFrame([(n, len(g), g) for n, g in sets.items()], "node string, n int, grams array<bigint>")
+    tables = simhash.verified_links(clusters, table, 0.8, 12)
+    assert len(tables) <= 3
+    assert sorted((r["src"], r["dst"]) for t in tables for r in t.collect()) == [(f"m{i:02}", f"n{i:02}") for i in range(0, 40, 3)]

@@ -46,7 +46,7 @@ class Numbering(dict):
 
 def spoken(words: list[bytes]) -> bytes:
     """A text from its opening separator to its end: words, each with its separator, and one more."""
-    return b" " + b"".join([w + b" " for w in words]) + b" "
+    return b" ".join([b"", *words, b"", b""])
 
 
 def text_keys(flat: np.ndarray, starts: np.ndarray, order: int) -> Iterator[pa.DictionaryArray]:
@@ -54,23 +54,32 @@ def text_keys(flat: np.ndarray, starts: np.ndarray, order: int) -> Iterator[pa.D
 
     ``flat`` holds texts one after another, which begin at ``starts``.
     """
+    padded = np.concatenate((np.zeros(7, np.uint8), flat))
+    stops = np.append(starts[1:], len(flat))
     for a in range(0, len(flat), SLICE_SYMBOLS):
         b = min(a + SLICE_SYMBOLS, len(flat))
-        first, last = np.searchsorted(starts, (a, b))
-        opened = np.zeros(b - a, np.int64)
-        opened[0] = starts[max(0, np.searchsorted(starts, a, "right") - 1)]
-        opened[starts[first:last] - a] = starts[first:last]
-        whole = np.arange(a, b) - np.maximum.accumulate(opened)
-        depth = np.minimum(whole, order)
-        key = (depth + 1) << 56
-        for back in range(order + 1):
-            at = min(max(a, back), b)
-            moved = flat[max(at - back, 0) : max(b - back, 0)].astype(np.int64) << (8 * back)
-            key[at - a :] |= np.where(depth[at - a :] >= back, moved, 0)
-        key[whole == 0] = -1
+        # the eight bytes that end at each symbol as one number
+        eight = np.ndarray(b - a, ">u8", padded, offset=a, strides=(1,))
+        key = eight.astype(np.uint64).view(np.int64)
+        key &= (1 << (8 * (order + 1))) - 1
+        key |= (order + 1) << 56
+        first, last = np.searchsorted(starts, (a - order, b))
+        for depth in range(max(order, 1)):  # at the beginning of a text there is less before a symbol
+            at = starts[first:last] + depth
+            at = at[(at >= a) & (at < np.minimum(stops[first:last], b))] - a
+            key[at] = key[at] & ((1 << (8 * (depth + 1))) - 1) | ((depth + 1) << 56) if depth else -1
         yield pa.array(key).dictionary_encode()
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: the high ones are mostly zeros and compress well."""
+    return numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def numbers_of(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
@@ -181,7 +190,7 @@ def tokenised(docs: DataFrame, order: int) -> DataFrame:
                 size += len(line)
                 if size >= BLOCK_BYTES or i == len(texts) - 1:
                     n = i + 1 - start
-                    yield only(doc_id=ids.slice(start, n), held_out=batch.column(2).slice(start, n), words=pa.array([w.tobytes() for w in out], pa.binary()))
+                    yield only(doc_id=ids.slice(start, n), held_out=batch.column(2).slice(start, n), words=pa.array([planes(w) for w in out], pa.binary()))
                     for held_out, some in said.items():
                         found.add(some, not held_out)
                         some.clear()
@@ -384,16 +393,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         grams, codes = grams[order_of], codes[order_of]
         del order_of
         at = given["place"].to_numpy()
-        n, texts = np.zeros(len(at), np.int64), [b""] * len(at)
-        n[at] = given["value"].to_numpy()
-        for place, word in zip(at.tolist(), given["word"], strict=True):
-            texts[place] = word.as_py()
+        n, texts = np.zeros(len(at), np.int64), np.empty(len(at), object)
+        n[at], texts[at] = given["value"].to_numpy(), given["word"].to_numpy()
         base = np.log10(n + 0.5) - smooth
         sums, totals, waiting, length = [], [], [], 0
         for words in left["words"]:
-            here = np.frombuffer(words.as_py() or b"", np.int32)
+            here = numbers_of(words.as_py())
             sums.append((len(here) + 1, int((n[here] > 0).sum()) + (ends > 0), base[here].sum()))
-            waiting.append(spoken([texts[i] for i in here.tolist()]))
+            waiting.append(spoken(texts[here].tolist()))
             length += len(waiting[-1])
             if length >= SLICE_SYMBOLS:
                 totals.append(text_log_probabilities(waiting, grams, codes, order))

@@ -240,14 +240,17 @@ def linked(nodes: DataFrame) -> DataFrame:
     deep = nodes.withColumn("above", F.expr(f"shiftleft({length} - 1, 56) | shiftright({low}, 8)")).withColumn(
         "shorter", F.expr(f"shiftleft({length} - 1, 56) | ({low} & (shiftleft(1L, cast(8 * ({length} - 1) as int)) - 1))")
     )
-    parent = nodes.select(F.col("key").alias("shorter"), F.col("n").alias("x"))
+    # written alike in both joins, so that the grams are shuffled by their keys once
+    parent = nodes.where("key is not null").select(F.col("key").alias("shorter"), F.col("n").alias("x"))
     inner = (
         deep.join(parent, "shorter", "left")
-        .groupBy(F.col("above").alias("key"))
-        .agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.sum("x").alias("x"))
+        .groupBy("above")
+        .agg(F.sum("n").alias("t"), F.count("*").alias("q"), F.sum("x").alias("excluded"))
+    )
+    filled = {"n": "x", "t": "t", "q": "q", "x": "excluded"}
+    return parent.join(inner, F.col("shorter") == F.col("above"), "full").select(
+        F.coalesce("shorter", "above").alias("key"), *(F.coalesce(c, F.lit(0).cast("bigint")).alias(name) for name, c in filled.items())
     )
-    zero = F.lit(0).cast("bigint")
-    return nodes.join(inner, "key", "full").select("key", *(F.coalesce(c, zero).alias(c) for c in ("n", "t", "q", "x")))
 
 
 def code_lengths(count: int, keys_at, nodes: dict[str, np.ndarray], order: int) -> np.ndarray:

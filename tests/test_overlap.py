@@ -43,6 +43,24 @@ def test_overlap_pairs_equals_brute_force(spark, min_shared, heavy):
     assert len(got) == len(expected)
 
 
+def test_tasks_hold_no_more_pairs_as_the_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "PAIRS_A_TASK", 200)
+    rows = spark.range(3000).select(F.col("id"), F.explode(F.array(F.floor(F.col("id") / 6), 1000 + F.col("id") % 500)).alias("member"))
+    found = overlap.light_counts(rows).select("id1", "id2", "shared", F.spark_partition_id().alias("task"))
+    # 500 groups of six neighbours each way, no two ids share both
+    assert found.agg(F.count("*"), F.min("shared"), F.max("shared")).first() == (15000, 1, 1)
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 600
+
+
+@pytest.mark.parametrize("min_shared", [1, 3])
+def test_pairs_dealt_to_many_tasks_equal_brute_force(spark, monkeypatch, min_shared):
+    monkeypatch.setattr(overlap, "PAIRS_A_TASK", 10)
+    sets = skewed_sets(7)
+    got = overlap.overlap_pairs(table(spark, sets), min_shared).collect()
+    expected = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= min_shared}
+    assert {(r.id1, r.id2): r.shared for r in got} == expected and len(got) == len(expected)
+
+
 def test_hot_member_proposes_no_pairs(spark):
     # every id holds the hot member and one of its own: nothing reaches two shared members
     rows = [(i, 0) for i in range(50)] + [(i, 100 + i) for i in range(50)]

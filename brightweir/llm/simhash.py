@@ -266,24 +266,29 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reach: int) -> list[DataFrame]:
     """Tables ``(src, dst)`` of nodes of a cluster whose sets of shingles are as similar as asked.
 
-    ``clusters`` is ``(cluster, node, lowest, fp)``. In each turn the first nodes of every cluster,
-    by ``lowest``, are its pivots and compared with the nodes after them that differ in at most
-    ``reach`` bits. A node that has been linked to one before it leaves all its clusters, as does a
-    pivot that has met all others, so of two similar nodes of a cluster that are in reach one is linked. A turn
+    ``clusters`` is ``(cluster, node, lowest, fp)``. In each turn the first nodes of every cluster
+    are its pivots and compared with all nodes that are not yet joined to them and differ in at
+    most ``reach`` bits; then they leave the cluster. A linked node stays, as it may be similar to
+    others than its pivot, so any two similar nodes of a cluster that are in reach end in one
+    component of the links. Nodes of the smallest components come first: a cluster ends when one
+    component is left, so of dense ones only the nodes outside the largest are ever pivots. A turn
     takes eight times as many pivots as the one before: clusters of similar texts end after
     the first, and the turns grow with the logarithm of the largest number of unlike ones.
     Sizes bound the similarity, so of a pivot no more is moved than of the nodes it meets.
     """
     links, pivots = [], 1
-    order = Window.partitionBy("cluster").orderBy("lowest", "node")
-    open_nodes = clusters
+    order = Window.partitionBy("cluster").orderBy("held", "lowest", "node")
+    open_nodes = clusters.select("cluster", "node", "lowest", "fp", F.col("node").alias("part"))
     while not open_nodes.isEmpty():
-        first = open_nodes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots)
-        first = saved(first.select("cluster", F.col("node").alias("dst"), F.col("lowest").alias("lowest2"), F.col("fp").alias("fp2")), "near-pivots")
+        held = open_nodes.groupBy("cluster", "part").agg(F.count("*").alias("held"))
+        numbered = saved(open_nodes.join(held, ["cluster", "part"]).withColumn("at", F.row_number().over(order)).drop("held"), "near-numbered")
+        first = numbered.where(F.col("at") <= pivots).toDF(*(c if c == "cluster" else f"{c}2" for c in numbered.columns))
+        later = F.struct("lowest2", "node2") < F.struct("lowest", "node")
+        apart = (F.col("part") != F.col("part2")) & (F.col("at2") < F.col("at"))
         met = (
-            open_nodes.join(first, "cluster")
-            .where((F.struct("lowest2", "dst") < F.struct("lowest", "node")) & (differing("fp", "fp2") <= reach))
-            .select(F.col("node").alias("src"), "dst")
+            numbered.join(first, "cluster")
+            .where(apart & (differing("fp", "fp2") <= reach))
+            .select(*(F.when(later, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("node", "node2", "src"), ("node2", "node", "dst"))))
             .distinct()
         )
         size = sets.select("node", "n")
@@ -295,10 +300,14 @@ def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reac
         # whole numbers: shared / (n1 + n2 - shared) >= similarity, without a quotient
         alike = both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.col("n1") + F.col("n2") - F.col("shared")))
         links.append(saved(alike.select("src", "dst"), "near-links"))
-        gone = links[-1].select(F.col("src").alias("node")).distinct()
-        rest = open_nodes.join(first.select("cluster", F.col("dst").alias("node")), ["cluster", "node"], "left_anti").join(gone, "node", "left_anti")
-        several = rest.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-        open_nodes = saved(rest.join(several, "cluster", "left_semi").select("cluster", "node", "lowest", "fp"), "near-rest")
+        rest = numbered.where(F.col("at") > pivots).select("cluster", "node", "lowest", "fp", "part")
+        # pivots that left still join the parts of the nodes they were linked to
+        parts = numbered.select("node", "part").distinct()
+        ties = links[-1].join(parts.toDF("src", "part1"), "src").join(parts.toDF("dst", "part2"), "dst").select(F.col("part1").alias("src"), F.col("part2").alias("dst")).distinct()
+        joined = connected_components(ties).toDF("part", "whole")
+        rest = rest.join(joined, "part", "left").select("cluster", "node", "lowest", "fp", F.coalesce("whole", "part").alias("part"))
+        rest = saved(rest, "near-joined")
+        open_nodes = saved(rest.join(open_buckets(rest, "cluster"), "cluster", "left_semi").select("cluster", "node", "lowest", "fp", "part"), "near-rest")
         pivots *= 8
     return links
 
@@ -318,9 +327,9 @@ def near_groups(
     Fingerprints of the distinct words, one for each seed, propose clusters: those whose
     fingerprints links of ``max_bits`` bits connect. Within a cluster, ``verified_links``
     compares the sets of shingles of ``words`` words (the whole text if it is shorter).
-    Texts of the same words in the same order are one node from the start. Of two documents
-    within ``max_bits`` in some fingerprint and as similar as asked, no more than one bears the
-    name of its group; and every other document of a group is as similar to one of its group.
+    Texts of the same words in the same order are one node from the start. Two documents
+    within ``max_bits`` in some fingerprint and as similar as asked are in one group; and
+    every document of a group of several is as similar to another of them.
     Groups are named by their smallest id. Null and empty texts form one group. Rows with
     a null id are left out; an id that several rows bear may be in several groups.
     """

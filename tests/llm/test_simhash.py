@@ -178,3 +178,12 @@ def test_links_of_a_cluster_of_unlike_texts(spark):
     tables = simhash.verified_links(clusters, table, 0.8, 12)
     assert len(tables) <= 3
     assert sorted((r["src"], r["dst"]) for t in tables for r in t.collect()) == [(f"m{i:02}", f"n{i:02}") for i in range(0, 40, 3)]
+
+
+def test_linked_nodes_are_still_compared_with_others(spark):
+    """A chain in which only neighbours are similar, and a fourth like the third alone."""
+    sets = {f"n{i}": list(range(2 * i, 2 * i + 30)) for i in range(3)} | {"n3": [*range(5, 34), 99]}
+    clusters = spark.createDataFrame([(1, n, i, 0) for i, n in enumerate(sets)], "cluster bigint, node string, lowest bigint, fp bigint")
+    table = spark.createDataFrame([(n, len(g), g) for n, g in sets.items()], "node string, n int, grams array<bigint>")
+    found = {(r["src"], r["dst"]) for t in simhash.verified_links(clusters, table, 0.87, 12) for r in t.collect()}
+    assert found == {("n1", "n0"), ("n2", "n1"), ("n3", "n2")}

@@ -104,6 +104,17 @@ def test_co_ratings_same_with_and_without_hot_users(spark, heavy):
     assert sorted((r.id1, r.id2, r.member, r.value1, r.value2) for r in got.collect()) == expected
 
 
+def test_ratings_that_meet_are_dealt_out_by_their_number(spark, monkeypatch):
+    from brightweir.operators import recommend
+
+    monkeypatch.setattr(recommend, "PAIRS_A_TASK", 500)
+    ratings = spark.range(3000).select((F.col("id") % 150).alias("user_id"), F.col("id").alias("item_id"), F.lit(2.0).alias("stars"))
+    wanted = ratings.alias("a").join(ratings.alias("b"), F.expr("a.user_id = b.user_id and a.item_id < b.item_id")).selectExpr("a.item_id id1", "b.item_id id2")
+    found = co_ratings(ratings, wanted).withColumn("task", F.spark_partition_id())
+    assert found.select("id1", "id2").distinct().count() == found.count() == 150 * 190
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 1000
+
+
 def test_item_held_by_everyone_stays_cheap(spark):
     # 20,000 users share item 0; pairing its group would make 200 million rows
     users = spark.range(20000)

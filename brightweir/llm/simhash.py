@@ -263,6 +263,33 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "node string, n int, grams array<bigint>")
 
 
+def sharing_buckets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``members`` of clusters dealt to the shingles by which similar ones must meet, the marks of a node put together.
+
+    Of two sets of similarity s, each holds s of the other's size in common: ordered by how many
+    sets hold them, rare ones first, they share one of the first ``n - ceil(s n) + 1`` shingles
+    of either. Shingles that a single set holds come before all others and are only counted, so a
+    set with more of them than it can spare has no partner and goes. No link is lost. Their number
+    comes out as ``alone``: the text that many copies were made of has fewest, and is a pivot first.
+    """
+    ids = saved(members.select("node").distinct().withColumn("no", F.monotonically_increasing_id()), "near-ids")
+    grams = sets.join(ids, "node").select("no", "n", F.explode("grams").alias("gram"))
+    held = grams.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    known = grams.join(held, "gram").groupBy("no", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("known"))
+    # a little less than s n, as the product may come out above a whole number
+    first = (F.size("known") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
+    meeting = known.where(first > 0).select("no", (F.col("n") - F.size("known")).alias("alone"), F.explode(F.slice("known", 1, first)).alias("place"))
+    meeting = saved(meeting.select("no", "alone", "place.gram"), "near-meeting")
+    # of shingles that the same nodes meet by, told by 128 bits and their number, one is enough
+    holders = F.sum(F.xxhash64("no", F.lit(1)).cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("no", F.lit(2))).alias("b")
+    same = meeting.groupBy("gram").agg(F.count("*").alias("many"), *holders).where("many > 1")
+    chosen = same.groupBy("many", "a", "b").agg(F.min("gram").alias("gram")).select("gram")
+    buckets = meeting.join(chosen, "gram", "left_semi").join(ids, "no").select("node", "alone", "gram")
+    whole = members.groupBy("node", "lowest", "part").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    dealt = saved(whole.join(buckets, "node").withColumnRenamed("gram", "cluster").select(members.columns), "near-dealt")
+    return saved(dealt.join(open_buckets(dealt, "cluster"), "cluster", "left_semi").select(members.columns), "near-sharing")
+
+
 def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reach: int) -> list[DataFrame]:
     """Tables ``(src, dst)`` of nodes of a cluster whose sets of shingles are as similar as asked.
 
@@ -270,15 +297,20 @@ def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reac
     are its pivots and compared with all nodes that are not yet joined to them and differ in at
     most ``reach`` bits; then they leave the cluster. A linked node stays, as it may be similar to
     others than its pivot, so any two similar nodes of a cluster that are in reach end in one
-    component of the links. Nodes of the smallest components come first: a cluster ends when one
-    component is left, so of dense ones only the nodes outside the largest are ever pivots. A turn
-    takes eight times as many pivots as the one before: clusters of similar texts end after
-    the first, and the turns grow with the logarithm of the largest number of unlike ones.
+    component of the links. A cluster ends when one component is left, and joined nodes are not
+    compared, so of dense ones only pairs with nodes outside the largest component are. Clusters of similar texts end after the first turn. What is left of the others is dealt anew
+    by ``sharing_buckets``, so that from then on a pivot meets only nodes with which it shares a
+    rare shingle. There the texts with the fewest shingles of their own come first, so copies
+    that are like their original but not each other end in one turn. A turn takes eight times
+    as many pivots as the one before.
     Sizes bound the similarity, so of a pivot no more is moved than of the nodes it meets.
     """
-    links, pivots = [], 1
-    order = Window.partitionBy("cluster").orderBy("held", "lowest", "node")
-    open_nodes = clusters.select("cluster", "node", "lowest", "fp", F.col("node").alias("part"))
+    links, pivots, dealt = [], 1, False
+    order = Window.partitionBy("cluster").orderBy("alone", "held", "lowest", "node")
+    columns = ["cluster", "node", "lowest", "marks", "alone", "part"]
+    marks = F.array(F.struct("cluster", "fp")).alias("marks")
+    open_nodes = clusters.select("cluster", "node", "lowest", marks, F.lit(0).alias("alone"), F.col("node").alias("part"))
+    near = F.exists("marks", lambda a: F.exists("marks2", lambda b: (a["cluster"] == b["cluster"]) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= reach)))
     while not open_nodes.isEmpty():
         held = open_nodes.groupBy("cluster", "part").agg(F.count("*").alias("held"))
         numbered = saved(open_nodes.join(held, ["cluster", "part"]).withColumn("at", F.row_number().over(order)).drop("held"), "near-numbered")
@@ -287,7 +319,7 @@ def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reac
         apart = (F.col("part") != F.col("part2")) & (F.col("at2") < F.col("at"))
         met = (
             numbered.join(first, "cluster")
-            .where(apart & (differing("fp", "fp2") <= reach))
+            .where(apart & near)
             .select(*(F.when(later, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("node", "node2", "src"), ("node2", "node", "dst"))))
             .distinct()
         )
@@ -300,15 +332,18 @@ def verified_links(clusters: DataFrame, sets: DataFrame, similarity: float, reac
         # whole numbers: shared / (n1 + n2 - shared) >= similarity, without a quotient
         alike = both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.col("n1") + F.col("n2") - F.col("shared")))
         links.append(saved(alike.select("src", "dst"), "near-links"))
-        rest = numbered.where(F.col("at") > pivots).select("cluster", "node", "lowest", "fp", "part")
+        rest = numbered.where(F.col("at") > pivots).select(columns)
         # pivots that left still join the parts of the nodes they were linked to
         parts = numbered.select("node", "part").distinct()
         ties = links[-1].join(parts.toDF("src", "part1"), "src").join(parts.toDF("dst", "part2"), "dst").select(F.col("part1").alias("src"), F.col("part2").alias("dst")).distinct()
         joined = connected_components(ties).toDF("part", "whole")
-        rest = rest.join(joined, "part", "left").select("cluster", "node", "lowest", "fp", F.coalesce("whole", "part").alias("part"))
+        rest = rest.join(joined, "part", "left").select(*columns[:-1], F.coalesce("whole", "part").alias("part"))
         rest = saved(rest, "near-joined")
-        open_nodes = saved(rest.join(open_buckets(rest, "cluster"), "cluster", "left_semi").select("cluster", "node", "lowest", "fp", "part"), "near-rest")
-        pivots *= 8
+        open_nodes = saved(rest.join(open_buckets(rest, "cluster"), "cluster", "left_semi").select(columns), "near-rest")
+        if dealt:
+            pivots *= 8
+        else:
+            open_nodes, dealt = sharing_buckets(open_nodes, sets, similarity), True
     return links
 
 

@@ -187,3 +187,23 @@ def test_linked_nodes_are_still_compared_with_others(spark):
     table = spark.createDataFrame([(n, len(g), g) for n, g in sets.items()], "node string, n int, grams array<bigint>")
     found = {(r["src"], r["dst"]) for t in simhash.verified_links(clusters, table, 0.87, 12) for r in t.collect()}
     assert found == {("n1", "n0"), ("n2", "n1"), ("n3", "n2")}
+
+
+def test_copies_like_their_original_alone_are_not_all_compared(spark, monkeypatch):
+    """60 copies, each with five shingles of its own, are like the original only; it bears no small id."""
+    base = list(range(60))
+    sets = {f"c{i:02}": [x for x in base if (x - i) % 60 not in (0, 7, 19, 31, 43)] + [1000 + 10 * i + k for k in range(5)] for i in range(60)} | {"o": base}
+    clusters = spark.createDataFrame([(1, n, i, 0) for i, n in enumerate(sets)], "cluster bigint, node string, lowest bigint, fp bigint")
+    table = spark.createDataFrame([(n, len(g), g) for n, g in sets.items()], "node string, n int, grams array<bigint>")
+    kept, compared = simhash.saved, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "near-met":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    found = {(r["src"], r["dst"]) for t in simhash.verified_links(clusters, table, 0.8, 12) for r in t.collect()}
+    assert found == {("o", f"c{i:02}") for i in range(60)}
+    assert sum(compared) <= 3 * len(sets)

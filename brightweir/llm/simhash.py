@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.graph import connected_components
+from ..operators.overlap import union_all
 from ..runtime import cut
 from .common import saved, ship
 
@@ -109,15 +110,15 @@ def variant_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).astype(np.int64)
 
 
-def index_rows(fps: DataFrame) -> DataFrame:
-    """``(key, fp)`` for every key of every distinct fingerprint."""
+def index_rows(fps: DataFrame, kind: int = 0) -> DataFrame:
+    """``(key, fp)`` for every key of every distinct fingerprint; those of another ``kind`` have other keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(0).to_numpy()
             for start in range(0, len(whole), 2000):
                 some = whole[start : start + 2000]
-                keys = variant_keys(some)
+                keys = variant_keys(some) | (kind << 56)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel()), pa.array(np.repeat(some, keys.shape[1]))], ["key", "fp"]
                 )
@@ -156,7 +157,21 @@ def finer_buckets(members: DataFrame) -> DataFrame:
     return members
 
 
-def linked_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def shared_buckets(fps: DataFrame, kind: int = 0) -> DataFrame:
+    """``(key, fp, before, lowest)``: fingerprints that share a key, with their neighbour and the smallest one."""
+    by_key = Window.partitionBy("key").orderBy("fp")
+    shared = index_rows(fps, kind).select(
+        "key",
+        "fp",
+        F.lag("fp").over(by_key).alias("before"),
+        F.lead("fp").over(by_key).alias("after"),
+        F.first("fp").over(by_key).alias("lowest"),
+    )
+    shared = shared.where(F.col("before").isNotNull() | F.col("after").isNotNull())
+    return saved(shared.select("key", "fp", "before", "lowest"), "simhash-buckets")
+
+
+def linked_components(fps: DataFrame, max_bits: int = MAX_BITS, kinds: int = 1) -> DataFrame:
     """``(fp, component)`` of distinct fingerprints linked when at most ``max_bits`` differ.
 
     Buckets are never paired up as a whole. First every member is compared with the
@@ -164,23 +179,15 @@ def linked_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     near one of either kind is kept, which ties dense groups together with two rows for
     each fingerprint. Then only buckets that still hold several components compare members
     across components, large ones after they are dealt anew by ``finer_buckets``.
+
+    With ``kinds`` above 1 a column ``kind`` counts from 0, and only fingerprints of one kind meet.
+    Their keys are sorted kind by kind, so no more of them are on disk at once; all else is one
+    job for all kinds. A fingerprint that several kinds hold is one all the same.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the segments prove links of at most {MAX_BITS} bits")
-    by_key = Window.partitionBy("key").orderBy("fp")
-    shared = saved(
-        index_rows(fps)
-        .select(
-            "key",
-            "fp",
-            F.lag("fp").over(by_key).alias("before"),
-            F.lead("fp").over(by_key).alias("after"),
-            F.first("fp").over(by_key).alias("lowest"),
-        )
-        .where(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .select("key", "fp", "before", "lowest"),
-        "simhash-buckets",
-    )
+    shared = shared_buckets(fps) if kinds == 1 else union_all([shared_buckets(fps.where(F.col("kind") == i), i) for i in range(kinds)])
+    fps = fps if kinds == 1 else fps.select("fp").distinct()
     # of all keys of a fingerprint one near neighbour and one near smallest member tie it in
     ties = [F.min(F.when(differing("fp", c) <= max_bits, F.col(c))).alias(c) for c in ("before", "lowest")]
     tied = saved(shared.where(F.col("before").isNotNull()).groupBy("fp").agg(*ties), "simhash-tied")
@@ -371,17 +378,16 @@ def near_groups(
     docs = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     marks = saved(word_marks(docs, id_col, text_col, seeds), "near-marks")
     nodes = saved(marks.groupBy("node", "fps").agg(F.min("doc_id").alias("lowest")), "near-nodes")
-    clusters = []
-    for i in range(len(seeds)):
-        placed = nodes.select("node", "lowest", F.get("fps", F.lit(i)).alias("fp"))
-        parts = linked_components(placed.select("fp").distinct(), max_bits)
-        placed = saved(placed.join(parts, "fp").select("component", "node", "lowest", "fp"), "near-parts")
-        several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-        name = F.xxhash64(F.lit(i), "component").alias("cluster")
-        clusters.append(placed.join(several, "component", "left_semi").select(name, "node", "lowest", "fp"))
-    proposed = clusters[0]
-    for more in clusters[1:]:
-        proposed = proposed.unionByName(more)
+    # a mask for each seed keeps equal bits of two seeds apart and leaves the differing bits within one
+    masks = F.array(*(F.lit(0).cast("bigint") if i == 0 else F.xxhash64(F.lit(i)) for i in range(len(seeds))))
+    masked = F.zip_with("fps", masks, lambda fp, mask: fp.bitwiseXOR(mask))
+    placed = saved(nodes.select("node", "lowest", F.posexplode(masked).alias("kind", "fp")), "near-placed")
+    fps = placed.select("kind", "fp").distinct()
+    parts = linked_components(fps, max_bits, len(seeds))
+    placed = saved(placed.join(parts, "fp").select("kind", "component", "node", "lowest", "fp"), "near-parts")
+    several = placed.groupBy("kind", "component").agg(F.count("*").alias("n")).where("n > 1").select("kind", "component")
+    name = F.xxhash64("kind", "component").alias("cluster")
+    proposed = placed.join(several, ["kind", "component"], "left_semi").select(name, "node", "lowest", "fp")
     proposed = saved(proposed, "near-clusters")
     met = proposed.select("node").distinct()
     ids = nodes.join(met, "node", "left_semi").select(F.col("lowest").alias(id_col)).distinct()

@@ -207,3 +207,24 @@ def test_copies_like_their_original_alone_are_not_all_compared(spark, monkeypatc
     found = {(r["src"], r["dst"]) for t in simhash.verified_links(clusters, table, 0.8, 12) for r in t.collect()}
     assert found == {("o", f"c{i:02}") for i in range(60)}
     assert sum(compared) <= 3 * len(sets)
+
+
+def test_kinds_are_linked_in_one_search(spark, monkeypatch):
+    """Fingerprints of two kinds never meet, and five seeds take as many searches for components as one."""
+    a, b = 0x0F0F0F0F0F0F0F, 0x7A7A7A00000000
+    near = [(0, a), (0, b), (1, a ^ 3), (1, b ^ 5), (1, b), (1, -1)]
+    got = simhash.linked_components(spark.createDataFrame(near, "kind int, fp bigint"), kinds=2).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component"], set()).add(r["fp"])
+    assert sorted(map(sorted, groups.values())) == sorted([[-1], [a ^ 3], [a], [b, b ^ 5]])
+    words = [f"w{i}" for i in range(40)]
+    docs = docs_of(spark, " ".join(words), " ".join([*words, "more"]), "other words", None)
+    kept, searched = simhash.connected_components, []
+    monkeypatch.setattr(simhash, "connected_components", lambda *a: searched.append(1) or kept(*a))
+    calls = []
+    for seeds in ((42,), (42, 43, 44, 45, 46)):
+        searched.clear()
+        simhash.near_groups(docs, seeds=seeds).collect()
+        calls.append(len(searched))
+    assert calls[1] <= calls[0] + 1

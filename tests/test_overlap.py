@@ -123,3 +123,24 @@ def test_item_held_by_everyone_stays_cheap(spark):
     twins = users.groupBy(first.alias("a"), second.alias("b")).agg(F.count("*").alias("n"))
     expected = twins.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
     assert cooccurrence_edges(pairs, 3).count() == expected > 0
+
+
+def test_rows_of_pairs_are_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
+    """With few shuffle partitions a task still holds a bounded number of rows, and the pairs are the same."""
+    from brightweir import runtime
+    from brightweir.plans import views
+
+    plain = views.pairs(spark, sf_dir)
+    rows = spark.createDataFrame([(i, m) for i in range(40) for m in range(i % 7, i % 7 + 5)], "id bigint, member bigint")
+    expected = {tuple(r) for r in overlap.overlap_pairs(rows, 3).collect()}
+    lines = views.table(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", 20)
+    kept, asked = runtime.dealt, []
+    monkeypatch.setattr(overlap, "dealt", lambda df, n, *keys: asked.append((n, keys)) or kept(df, n, *keys))
+    assert {tuple(r) for r in overlap.overlap_pairs(rows, 3).collect()} == expected
+    assert asked == [(200, ("id",))]
+    assert kept(rows, 200, "id").rdd.getNumPartitions() == 10
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", 500)
+    dealt = views.pairs(spark, sf_dir)
+    assert dealt.rdd.getNumPartitions() == -(-lines // 500) > 4
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))

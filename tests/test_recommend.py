@@ -135,3 +135,44 @@ def test_missing_truth(spark):
     truth = frame(spark, [(1, 1, 5.0)])
     assert [tuple(r) for r in recommend.missing_truth(pred, truth).collect()] == [(1, 2)]
     assert recommend.rmse(pred, truth).first() == (2.0, 1)
+
+
+@pytest.mark.parametrize("heavy", [1000, 8])
+def test_ratings_meet_in_rounds_that_hold_few_of_them(spark, monkeypatch, heavy):
+    """The rounds together give what one round gives, and none holds all the ratings that meet."""
+    rows = frame(spark, ratings(users=40, items=30))
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, 30) if (a + b) % 3], "id1 bigint, id2 bigint")
+    whole = sorted(map(tuple, recommend.co_ratings(rows, pairs, heavy).collect()))
+
+    def similar():
+        found = recommend.pearson_item_pairs(rows, pairs, heavy=heavy).collect()
+        return sorted((r.item_i, r.item_j, r.n, round(r.sim, 9)) for r in found)
+
+    moments = similar()
+    monkeypatch.setattr(recommend, "PAIRS_A_ROUND", 50)
+    monkeypatch.setattr(recommend, "PAIRS_A_RATING", 1)
+    sizes = []
+
+    def each(met, asked, mine):
+        sizes.append((met.count(), asked.count(), met.where(~mine("id1")).count()))
+        return met
+
+    assert sorted(map(tuple, recommend.co_ratings(rows, pairs.union(pairs), heavy, each).collect())) == whole
+    assert similar() == moments
+    assert sum(n for n, _, _ in sizes) == len(whole) and not any(other for *_, other in sizes)
+    if heavy == 1000:
+        assert len(sizes) > 4 and max(n for n, _, _ in sizes) < len(whole) / 2
+
+
+def test_zero_similarities_are_counted_without_being_listed(spark):
+    """Neighbours nobody shares stand between the positive and the negative ones."""
+    # users 1 to 3 make items 1 and 2 alike, 1 and 3 opposed; nobody but user 9 rated 4 and 5
+    alike = [(u, 1, float(u)) for u in (1, 2, 3)] + [(u, 2, float(u)) for u in (1, 2, 3)] + [(u, 3, float(6 - u)) for u in (1, 2, 3)]
+    train = alike + [(9, 2, 5.0), (9, 3, 1.0), (9, 4, 2.0), (9, 5, 2.0)]
+    asked = spark.createDataFrame([(9, 1)], "user_id bigint, item_id bigint")
+    for n in (1, 2, 3, 4, 50):
+        (got,) = recommend.cf_predict(frame(spark, train), asked, n).collect()
+        assert got.neighbor_count == min(n, 4)
+        assert got.prediction == pytest.approx(brute_predictions(train, [(9, 1)], n, False)[9, 1], abs=1e-9)
+    kept = recommend.similar_ratings(frame(spark, train), asked)
+    assert sorted((r.other, round(r.sim, 6)) for r in kept.collect()) == [(2, 1.0), (3, -1.0)]

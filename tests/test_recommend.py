@@ -176,3 +176,13 @@ def test_zero_similarities_are_counted_without_being_listed(spark):
         assert got.prediction == pytest.approx(brute_predictions(train, [(9, 1)], n, False)[9, 1], abs=1e-9)
     kept = recommend.similar_ratings(frame(spark, train), asked)
     assert sorted((r.other, round(r.sim, 6)) for r in kept.collect()) == [(2, 1.0), (3, -1.0)]
+
+
+def test_trees_learn_from_features_and_labels_only(spark, monkeypatch):
+    rows = ratings()
+    users, items = profiles(spark, rows)
+    kept, columns = model.stored, []
+    monkeypatch.setattr(model, "stored", lambda df, name: columns.append(df.columns) or kept(df, name))
+    asked = frame(spark, rows).select("user_id", "item_id")
+    assert model.gbt_predict(frame(spark, rows), asked, users, items, depth=2, rounds=2).count() == len(rows)
+    assert columns == [["features", "label"]]
